@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ripplework.plans import skew
+from ripplework.plans import coordination, profile, skew, timeseries
 
-_MODULES = (skew,)
+_MODULES = (profile, timeseries, coordination, skew)
 
 
 def queries() -> dict:

@@ -3,7 +3,7 @@
 The load of each key is counted in one pass with map-side combine. Keys above a quarter of a task's average load are named
 one by one (at most four a task, whatever the input); all others are counted in hash buckets, a fixed number a task. So the
 driver packs a number of items that depends on the tasks alone: greatest load first, each to the task with the least so far.
-A large key is first split into as many shards as its load needs. Rows go to their task through a column ``slot`` whose hash
+A large key is first split into as many shards as its load needs. Rows go to their task through a column whose hash
 is the task's partition, so windows and aggregates by (slot, key) need no further exchange. A matching side goes to the slot
 of its key, and is replicated only to the shards of split keys.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import Window
 
 from ripplework.plans.cluster import tasks_of
 
+SLOT = "_slot"
 BUCKETS_A_TASK = 16
 HEAVY_A_TASK = 4
 
@@ -95,17 +96,17 @@ class Placement:
         return df.withColumn("_bucket", self._bucket()).join(F.broadcast(self._light), "_bucket").drop("_bucket")
 
     def label(self, df: DataFrame, spread: str) -> DataFrame:
-        """Add ``slot``: of a split key, the shard that the hash of ``spread`` picks."""
+        """Add ``SLOT``: of a split key, the shard that the hash of ``spread`` picks."""
         shard = F.get("_shards", F.pmod(F.xxhash64(spread), F.size("_shards").cast("long")).cast("int"))
-        return self._planned(df).withColumn("slot", F.when(F.col("_shards").isNull(), F.col("_light")).otherwise(shard)).drop("_shards", "_light")
+        return self._planned(df).withColumn(SLOT, F.when(F.col("_shards").isNull(), F.col("_light")).otherwise(shard)).drop("_shards", "_light")
 
     def replicate(self, df: DataFrame) -> DataFrame:
-        """Add ``slot``: one row for each slot that holds rows of the key."""
+        """Add ``SLOT``: one row for each slot that holds rows of the key."""
         where = F.array_distinct(F.when(F.col("_shards").isNull(), F.array("_light")).otherwise(F.col("_shards")))
-        return self._planned(df).withColumn("slot", F.explode(where)).drop("_shards", "_light")
+        return self._planned(df).withColumn(SLOT, F.explode(where)).drop("_shards", "_light")
 
     def place(self, df: DataFrame) -> DataFrame:
-        return df.repartition(self.tasks, "slot")
+        return df.repartition(self.tasks, SLOT)
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list, k: int, spread: str, tasks: int | None = None) -> DataFrame:
@@ -115,17 +116,17 @@ def top_rows(df: DataFrame, keys: list[str], order: list, k: int, spread: str, t
     """
     plan = Placement(df, keys, tasks)
     rows = plan.place(plan.label(df, spread))
-    shard = Window.partitionBy("slot", *keys).orderBy(*order)
+    shard = Window.partitionBy(SLOT, *keys).orderBy(*order)
     rows = rows.withColumn("_rank", F.row_number().over(shard)).filter(F.col("_rank") <= k)
     whole = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= k).drop("_rank", "slot")
+    return rows.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= k).drop("_rank", SLOT)
 
 
 def match_rows(df: DataFrame, other: DataFrame, keys: list[str], spread: str, tasks: int | None = None) -> tuple[DataFrame, list[str]]:
     """``df`` with the columns of ``other`` (one row a key) beside each row; NULL where it has none.
 
     Both sides meet in the slot through one exchange: every shard of a key holds one copy of the matching row, which a window
-    over (slot, key) hands to the shard's rows. The result keeps ``slot``, for aggregates by (slot, key) without an exchange.
+    over (slot, key) hands to the shard's rows. The result keeps the column ``SLOT``, for aggregates by (SLOT, key) without an exchange.
     Returns the columns of ``other`` under their names, ``match_`` put before those that clash.
     """
     plan = Placement(df, keys, tasks)
@@ -134,6 +135,6 @@ def match_rows(df: DataFrame, other: DataFrame, keys: list[str], spread: str, ta
     left = plan.label(df, spread).withColumn("_side", F.lit(True))
     right = plan.replicate(other.select(*keys, F.struct(*(F.col(c).alias(names[c]) for c in values)).alias("_match"))).withColumn("_side", F.lit(False))
     both = plan.place(left.unionByName(right, allowMissingColumns=True))
-    match = F.max("_match").over(Window.partitionBy("slot", *keys))
+    match = F.max("_match").over(Window.partitionBy(SLOT, *keys))
     both = both.withColumn("_match", match).filter("_side")
-    return both.select(*df.columns, "slot", *(F.col(f"_match.{n}").alias(n) for n in names.values())), list(names.values())
+    return both.select(*df.columns, SLOT, *(F.col(f"_match.{n}").alias(n) for n in names.values())), list(names.values())

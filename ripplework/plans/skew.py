@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplework.functions.text import handle, url_handle
-from ripplework.operators.balance import match_rows, top_rows
+from ripplework.operators.balance import SLOT, match_rows, top_rows
 
 
 def post_handles(posts: DataFrame, *keep: str) -> DataFrame:
@@ -31,7 +31,7 @@ def p5_account_reach(spark: SparkSession, sf: str) -> DataFrame:
     accounts = accounts.select(F.explode(F.array(F.lit("author"), F.lit("handle"))).alias("field"), "handle", "followers")
     met, _ = match_rows(rows, accounts, ["field", "handle"], "row_id")
     sums = [F.count(F.lit(1)).alias("n_posts"), F.sum(F.coalesce("reach", F.lit(0.0))).alias("total_reach"), F.max("followers").alias("followers"), F.count_if(F.col("reach") > F.col("followers")).alias("n_beyond_followers")]
-    shards = met.groupBy("slot", "field", "handle").agg(*sums)
+    shards = met.groupBy(SLOT, "field", "handle").agg(*sums)
     return shards.groupBy("field", "handle").agg(F.sum("n_posts").alias("n_posts"), F.sum("total_reach").alias("total_reach"), F.max("followers").alias("followers"), F.sum("n_beyond_followers").alias("n_beyond_followers"))
 
 

@@ -99,7 +99,8 @@ class Mix:
 
         def flight(land: bool):
             def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-                rows = rows.sort_values(["order", "doc_id"])
+                # large documents first, so that small ones are left for the landing
+                rows = rows.sort_values(["n_tokens", "order", "doc_id"], ascending=[False, True, True])
                 rng = random.Random(f"{seed} {key}")
                 rows["p"] = fly(rows["p"].tolist(), rows["n_tokens"].astype(float).tolist(), rng, land)
                 return rows

@@ -80,11 +80,10 @@ def pieces(text: str, codec: Codec, limit: int = LIMIT, overlap: int = OVERLAP)
         least = int(np.searchsorted(before, before[a] - overlap))
         lo, hi = np.searchsorted(at, least), np.searchsorted(at, a)
         start = int(at[lo]) if lo < hi else least
-        n = tokens(start, b)
-        while n > limit and start < a:  # a cut inside a word can change its tokens
-            start = min(a, start + n - limit)
-            n = tokens(start, b)
-        out.append((start, a, b, n))
+        # a cut inside a word can change its tokens
+        while start < a and (more := max(tokens(start, a) - overlap, tokens(start, b) - limit)) > 0:
+            start = min(a, start + more)
+        out.append((start, a, b, tokens(start, b)))
     return out
 
 

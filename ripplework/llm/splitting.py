@@ -20,23 +20,9 @@ from pyspark.sql import DataFrame
 from ripplework.llm.tokens import RANKS, TOKENIZERS, Codec
 
 LIMIT, OVERLAP = 1024, 64
-_SPACE = re.compile(r"(?<=\S)\s+")
-_CLOSERS = "\"'”’»)]}"
-
-
-def _strength(text: str, at: int, gap: str) -> int:
-    if (lines := gap.count("\n") + (gap.count("\r") if "\n" not in gap else 0)) > 1:
-        return 5
-    if lines:
-        return 4
-    before = text[max(0, at - 8) : at].rstrip(_CLOSERS)[-1:]
-    return 3 if before in tuple(".!?…؟。") else 2 if before in tuple(",;:،؛") else 1
-
-
-def _boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
-    found = [(m.start(), _strength(text, m.start(), m.group())) for m in _SPACE.finditer(text) if m.end() < len(text)]
-    at, strength = zip(*found) if found else ((), ())
-    return np.array(at, np.int64), np.array(strength, np.int64)
+_CLOSERS = "[\"'”’»)\\]}]*"
+#: Boundaries from the strongest; each ends where the white space begins.
+_BOUNDARIES = tuple(map(re.compile, (r"(?<=\S)(?=[^\S\n]*\n[^\S\n]*\n)", r"(?<=\S)(?=[^\S\n]*\n)", rf"[.!?…؟。]{_CLOSERS}(?=\s)", rf"[,;:،؛]{_CLOSERS}(?=\s)", r"(?<=\S)(?=\s)")))
 
 
 def pieces(text: str, codec: Codec, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
@@ -46,26 +32,23 @@ def pieces(text: str, codec: Codec, limit: int = LIMIT, overlap: int = OVERLAP)
         return [(0, 0, len(text), len(ids))]
     width = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     width = 1 + (width > 0x7F).astype(np.int64) + (width > 0x7FF) + (width > 0xFFFF)
-    byte_of = np.concatenate(([0], np.cumsum(width)))
-    token_at = np.concatenate(([0], np.cumsum(codec.lengths[ids])))
     # tokens before each character
-    before = np.searchsorted(token_at, byte_of, side="left")
-    at, strength = _boundaries(text)
-    at_token = before[at]
+    before = np.searchsorted(np.concatenate(([0], np.cumsum(codec.lengths[ids]))), np.concatenate(([0], np.cumsum(width))))
+
+    def natural(at: int) -> bool:
+        return at in (0, len(text)) or text[at].isspace() and not text[at - 1].isspace()
+
+    def tokens(a: int, b: int) -> int:
+        return int(before[b] - before[a]) if natural(a) and natural(b) else len(codec.encode(text[a:b]))
 
     def halve(a: int, b: int) -> int:
         mid, quarter = (before[a] + before[b]) / 2, (before[b] - before[a]) / 4
-        lo, hi = np.searchsorted(at, a, side="right"), np.searchsorted(at, b, side="left")
-        near = np.flatnonzero(np.abs(at_token[lo:hi] - mid) <= quarter) + lo
-        if len(near):
-            return int(at[near[np.lexsort((np.abs(at_token[near] - mid), -strength[near]))[0]]])
+        lo, hi = (int(np.searchsorted(before, mid + d, side)) for d, side in ((-quarter, "left"), (quarter, "right")))
+        for kind in _BOUNDARIES:
+            if at := [m.end() for m in kind.finditer(text, max(lo - 1, a), min(hi + 1, len(text))) if max(lo, a + 1) <= m.end() < min(hi, b)]:
+                return min(at, key=lambda x: (abs(before[x] - mid), x))
         return min(max(int(np.searchsorted(before, mid)), a + 1), b - 1)
 
-    natural = {0, len(text), *at.tolist()}
-
-    def tokens(a: int, b: int) -> int:
-        return int(before[b] - before[a]) if a in natural and b in natural else len(codec.encode(text[a:b]))
-
     size = limit - overlap
     cores, todo = [], [(0, len(text))]
     while todo:
@@ -78,8 +61,8 @@ def pieces(text: str, codec: Codec, limit: int = LIMIT, overlap: int = OVERLAP)
     out = [(0, 0, cores[0][1], tokens(*cores[0]))]
     for a, b in cores[1:]:
         least = int(np.searchsorted(before, before[a] - overlap))
-        lo, hi = np.searchsorted(at, least), np.searchsorted(at, a)
-        start = int(at[lo]) if lo < hi else least
+        near = _BOUNDARIES[-1].search(text, least, a)
+        start = near.end() if near else least
         # a cut inside a word can change its tokens
         while start < a and (more := max(tokens(start, a) - overlap, tokens(start, b) - limit)) > 0:
             start = min(a, start + more)

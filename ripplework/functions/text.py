@@ -27,9 +27,3 @@ def url_handle(c: Column | str, pattern: str = URL_HANDLE) -> Column:
 def letters_digits(c: Column | str) -> Column:
     """The value without all but Unicode letters and numbers, lower-cased. NULL stays NULL."""
     return F.lower(F.regexp_replace(_col(c), r"[^\p{L}\p{N}]+", ""))
-
-
-def words(c: Column | str) -> Column:
-    """The distinct maximal runs of letters and digits, lower-cased and sorted. NULL and blank give an empty array."""
-    spaced = F.lower(F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"[^\p{L}\p{N}]+", " ")))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.split(spaced, " "))))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplework.operators.graph import linked_groups
+from ripplework.operators.graph import hash_order, linked_groups
 from ripplework.plans.cluster import cut
 
 
@@ -21,26 +21,60 @@ def char_ngrams(text: Column | str, n: int = 3) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) < n, F.array(text)).otherwise(F.array_distinct(grams))
 
 
-def similar_pairs(texts: DataFrame, id_col: str, text: str, threshold: float = 0.8, n: int = 3) -> DataFrame:
-    """``src`` < ``dst`` and ``sim`` of the pairs of at least ``threshold``. NULL and empty texts have none."""
-    sets = cut(texts.select(F.col(id_col).alias("id"), F.transform(char_ngrams(F.coalesce(F.col(text), F.lit("")), n), lambda g: F.xxhash64(g)).alias("grams")).filter(F.size("grams") > 0))
+def _sets(texts: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+    grams = F.transform(char_ngrams(F.coalesce(F.col(text), F.lit("")), n), lambda g: F.xxhash64(g))
+    return cut(texts.select(F.col(id_col).alias("id"), F.explode(F.array(grams)).alias("grams")).filter(F.size("grams") > 0))
+
+
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """``id``, ``size`` and each of the rarest grams of a text that a similar one must share."""
     each = sets.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     rarity = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(rarity, "gram").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
-    prefix = ranked.select("id", "size", F.explode(F.slice("o", 1, (F.col("size") - F.ceil(threshold * F.col("size")) + 1).cast("int"))).alias("p")).select("id", "size", "p.gram")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    close = (F.col("a.id") < F.col("b.id")) & (F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size"))
-    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & close).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
+    ranked = each.join(rarity, "gram").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("o"))
+    first = F.slice("o", 1, (F.col("size") - F.ceil(threshold * F.col("size")) + 1).cast("int"))
+    return ranked.select("id", "size", F.explode(first).alias("p")).select("id", "size", "p.gram")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     left, right = (sets.select(F.col("id").alias(end), F.col("grams").alias(f"_{end}")) for end in ("src", "dst"))
     both = F.size(F.array_intersect("_src", "_dst"))
-    found = pairs.join(left, "src").join(right, "dst").withColumn("sim", both / (F.size("_src") + F.size("_dst") - both))
+    found = pairs.distinct().join(left, "src").join(right, "dst").withColumn("sim", both / (F.size("_src") + F.size("_dst") - both))
     return found.filter(F.col("sim") >= threshold).select("src", "dst", "sim")
 
 
+def _meeting(prefix: DataFrame, threshold: float, apart: str) -> DataFrame:
+    """Pairs that share a prefix gram, are of like length, and differ in the column ``apart``."""
+    a, b = prefix.alias("a"), prefix.alias("b")
+    close = (F.col("a.id") < F.col("b.id")) & (F.col(f"a.{apart}") != F.col(f"b.{apart}")) & (F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size"))
+    return a.join(b, (F.col("a.gram") == F.col("b.gram")) & close).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+
+
+def similar_pairs(texts: DataFrame, id_col: str, text: str, threshold: float = 0.8, n: int = 3) -> DataFrame:
+    """``src`` < ``dst`` and ``sim`` of the pairs of at least ``threshold``. NULL and empty texts have none."""
+    sets = _sets(texts, id_col, text, n)
+    return _checked(_meeting(_prefixes(sets, threshold), threshold, "id"), sets, threshold)
+
+
+def similar_groups(texts: DataFrame, id_col: str, text: str, threshold: float = 0.8, n: int = 3) -> DataFrame:
+    """``node`` and ``label`` of every text that is linked to another one.
+
+    First each text is held against the one of least hash among those that share a gram of its prefix, which links most of a large family in one
+    row a text; then only pairs of different groups are.
+    """
+    sets = _sets(texts, id_col, text, n)
+    prefix = cut(_prefixes(sets, threshold))
+    pivots = prefix.groupBy("gram").agg(F.min(F.struct(hash_order("id").alias("h"), "id"))["id"].alias("src"))
+    star = prefix.join(pivots, "gram").filter("id <> src").select(F.least("src", "id").alias("src"), F.greatest("src", "id").alias("dst"))
+    near = cut(_checked(star, sets, threshold))
+    groups = linked_groups(near).select(F.col("node").alias("id"), "label")
+    apart = prefix.join(groups, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    return linked_groups(near.unionByName(_checked(_meeting(apart, threshold, "label"), sets, threshold)))
+
+
 def near_dup_groups(dup: DataFrame, threshold: float = 0.8, n: int = 3) -> DataFrame:
     """Groups of at least two linked texts of ``dup`` (``text``, ``n`` copies): variants, copies, and the most frequent variant."""
     texts = cut(dup.select(F.xxhash64("text").alias("id"), "text", F.col("n").alias("copies")))
-    groups = linked_groups(similar_pairs(texts, "id", "text", threshold, n))
+    groups = similar_groups(texts, "id", "text", threshold, n)
     found = texts.join(groups, texts.id == groups.node).groupBy("label").agg(
         F.count(F.lit(1)).alias("n_variants"), F.sum("copies").alias("total_count"), F.min(F.struct((-F.col("copies")).alias("a"), "text"))["text"].alias("t")
     )

@@ -8,11 +8,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from ripplework.functions.text import handle, letters_digits, url_handle, words
+from ripplework.functions.text import handle, letters_digits, url_handle
 from ripplework.operators import audit, coordination as co, engagement as eng, profile as pro, timeseries as ts
 from ripplework.operators.balance import SLOT, Placement, match_rows, pack, top_rows
 from ripplework.operators.graph import CoActivity, linked_groups
-from ripplework.operators.neardup import char_ngrams, near_dup_groups, similar_pairs
+from ripplework.operators.neardup import char_ngrams, near_dup_groups, similar_groups, similar_pairs
 from ripplework.operators.segments import breakdown
 from ripplework.operators.topics import Topics
 from ripplework.plans.cluster import lookup_join
@@ -40,12 +40,11 @@ def copies(spark, seconds, text="x", authors=None):
 def test_text_expressions(spark):
     rows = [(" @@Foo ",), (" Bar",), ("",), (" @ ",), (None,)]
     df = spark.createDataFrame(rows, "s string")
-    assert [r[0] for r in df.select(handle("s")).collect()] == ["foo", "bar", None, None, None] or [r[0] for r in df.select(handle("s")).collect()][:3] == ["foo", "bar", None]
+    assert [r[0] for r in df.select(handle("s")).collect()] == ["foo", "bar", None, None, None]
     urls = spark.createDataFrame([("https://twitter.com/Foo/statuses/12",), ("https://x.com/Foo/status/1",), (None,)], "s string")
     assert [r[0] for r in urls.select(url_handle("s")).collect()] == ["Foo", None, None]
     texts = spark.createDataFrame([("L'Été, 2e fois: été!",), ("  ",), (None,)], "s string")
     assert [r[0] for r in texts.select(letters_digits("s")).collect()] == ["lété2efoisété", "", None]
-    assert [r[0] for r in texts.select(words("s")).collect()] == [["2e", "fois", "l", "été"], [], []]
 
 
 # sources
@@ -206,6 +205,10 @@ def test_ngrams_and_pairs_against_brute_force(spark):
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     got = similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").collect()
     assert {(r.src, r.dst) for r in got} == want and want
+    linked = defaultdict(set)
+    for r in similar_groups(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").collect():
+        linked[r.label].add(r.node)
+    assert {frozenset(g) for g in linked.values()} == components(want)
     groups = near_dup_groups(spark.createDataFrame([(t, 5 + i) for i, t in enumerate(dict.fromkeys(texts))], "text string, n long")).collect()
     assert all(r.n_variants >= 2 for r in groups)
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ripplework.functions.time import date_of, floor_to, seconds
 from ripplework.operators.profile import pct
 from ripplework.sources.posts import REPLY, RETWEET
 
@@ -41,15 +42,15 @@ def duplication(posts: DataFrame, min_dup: int = 5) -> DataFrame:
 
 def minute_bursts(posts: DataFrame, least: int = 3, k: int | None = 15) -> DataFrame:
     """Copies of one text (the empty one too) within one minute; the ``k`` greatest, all of them with None."""
-    found = posts.groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute"), "text").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    found = posts.groupBy(floor_to("minute", "ts").alias("minute"), "text").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     return found if k is None else found.orderBy(F.desc("n"), "minute", "text").limit(k)
 
 
 def text_seconds(posts: DataFrame, min_dup: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
     """``text``, ``sec`` and ``c``, the copies of duplicated texts by second."""
-    seconds = posts.filter("text <> ''").groupBy(*keys, "text", F.unix_seconds(F.col("ts").cast("timestamp")).alias("sec")).agg(F.count(F.lit(1)).alias("c"))
+    rows = posts.filter("text <> ''").groupBy(*keys, "text", seconds("ts").alias("sec")).agg(F.count(F.lit(1)).alias("c"))
     total = F.sum("c").over(Window.partitionBy(*keys, "text"))
-    return seconds.withColumn("_n", total).filter(F.col("_n") >= min_dup).drop("_n")
+    return rows.withColumn("_n", total).filter(F.col("_n") >= min_dup).drop("_n")
 
 
 def synchrony_per_text(posts: DataFrame, delta: int = 60, min_dup: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -117,13 +118,13 @@ def anchored_windows(posts: DataFrame, delta: int = 60, min_dup: int = 5) -> Dat
 
 def burst_sizes(posts: DataFrame, delta: int = 60, min_dup: int = 5) -> DataFrame:
     """For each day that starts a window of two or more copies: the largest one, and how many have three or more."""
-    day = F.to_date(F.timestamp_seconds("anchor")).alias("day")
+    day = date_of("anchor").alias("day")
     found = anchored_windows(posts, delta, min_dup).filter("n >= 2")
     return found.groupBy(day).agg(F.max("n").alias("max_burst"), F.count_if(F.col("n") >= 3).alias("n_bursts_ge3"))
 
 
 def post_windows(posts: DataFrame, delta: int = 60, min_dup: int = 5) -> DataFrame:
     """The different authors of each anchored window: ``text``, ``anchor``, ``author``."""
-    seconds = anchored(posts, delta, min_dup).select("text", "sec", "anchor")
-    rows = posts.filter("author IS NOT NULL AND text <> ''").select("text", F.unix_seconds(F.col("ts").cast("timestamp")).alias("sec"), "author").distinct()
-    return rows.join(seconds, ["text", "sec"]).select("text", "anchor", "author").distinct()
+    windows = anchored(posts, delta, min_dup).select("text", "sec", "anchor")
+    rows = posts.filter("author IS NOT NULL AND text <> ''").select("text", seconds("ts").alias("sec"), "author").distinct()
+    return rows.join(windows, ["text", "sec"]).select("text", "anchor", "author").distinct()

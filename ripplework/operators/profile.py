@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplework.functions.time import micros
 from ripplework.sources.posts import RETWEET
 
 
@@ -36,7 +37,7 @@ def summary(posts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_messages"),
         F.min("ts").alias("date_min"),
         F.max("ts").alias("date_max"),
-        F.floor((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 86_400_000_000).cast("long").alias("span_days"),
+        F.floor((micros(F.max("ts")) - micros(F.min("ts"))) / 86_400_000_000).cast("long").alias("span_days"),
         pct(F.count_if(F.col("engagement") == RETWEET), F.count(F.lit(1))).alias("retweet_share_pct"),
         pct(F.count_if("verified"), F.count(F.lit(1))).alias("verified_share_pct"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplework.functions.time import floor_to
 from ripplework.operators.coordination import synchrony_per_text
 from ripplework.operators.profile import low_footprint, pct
 
@@ -17,8 +18,8 @@ def segmented(posts: DataFrame, by: str) -> DataFrame:
         raise ValueError(f"unknown dimension {by}; known are {', '.join(DIMENSIONS)}")
     label = {
         "verified": F.when(F.col("verified"), "verified").otherwise("non_verifie"),
-        "day": F.date_format("ts", "yyyy-MM-dd"),
-        "hour": F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss"),
+        "day": F.to_date("ts").cast("string"),
+        "hour": floor_to("hour", "ts").cast("string"),
         "engagement": F.col("engagement"),
         "sentiment": F.coalesce("sentiment", F.lit("None")),
     }[by]

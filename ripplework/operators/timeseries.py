@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ripplework.functions.time import floor_to
 from ripplework.operators.profile import pct
 
 UNITS = {"D": "day", "h": "hour", "W": "week"}
@@ -24,8 +25,8 @@ def period(freq: str, ts: str = "ts") -> Column:
     """The bin of a time; weeks are named by their Sunday."""
     if freq not in UNITS:
         raise ValueError(f"freq must be one of {', '.join(UNITS)}")
-    start = F.date_trunc(UNITS[freq], ts)
-    return (start + F.expr("INTERVAL 6 DAYS") if freq == "W" else start).cast("timestamp_ntz")
+    start = floor_to(UNITS[freq], ts)
+    return start + F.expr("INTERVAL 6 DAYS") if freq == "W" else start
 
 
 def series(posts: DataFrame, freq: str = "D", weight: str = "count", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -97,7 +98,7 @@ def reach_lead(posts: DataFrame, freq: str = "h") -> DataFrame:
 
 def sentiments(posts: DataFrame, freq: str = "D") -> DataFrame:
     """Posts by bin and sentiment (weeks by their Monday), the bin's volume and negative share."""
-    start = F.date_trunc(UNITS[freq], "ts").cast("timestamp_ntz").alias("period")
+    start = floor_to(UNITS[freq], "ts").alias("period")
     each = {s: F.count_if((F.col("sentiment") == s) & F.col("id").isNotNull()) for s in ("negative", "neutral", "positive")}
     found = posts.filter("sentiment IS NOT NULL").groupBy(start).agg(*(c.alias(s) for s, c in each.items()), F.count("id").alias("volume"))
     return found.filter("volume > 0").withColumn("negative_share_pct", pct(F.col("negative"), F.col("volume")))

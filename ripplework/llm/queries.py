@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplework.functions.text import handle, url_handle
+from ripplework.functions.time import micros
 from ripplework.llm.copies import Copies, parse_payload
 from ripplework.llm.frequent import frequent_items, items_above
 from ripplework.llm.mixing import Mix
@@ -61,8 +62,7 @@ def p3_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def _post_copies(spark: SparkSession, sf: str) -> Copies:
     posts = _table(spark, sf, "posts").filter("posted_at IS NOT NULL AND author IS NOT NULL")
-    micros = F.unix_micros(F.col("posted_at").cast("timestamp"))
-    posts = posts.select("row_id", "author", "message_normalizer", "engagement_type", micros.alias("posted"))
+    posts = posts.select("row_id", "author", "message_normalizer", "engagement_type", micros("posted_at").alias("posted"))
     return Copies(posts, "row_id", ["author", "message_normalizer", "engagement_type"], ("posted",), {"engagement_type": "original"}, ("message_normalizer",))
 
 

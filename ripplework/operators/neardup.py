@@ -1,7 +1,8 @@
 """Near-duplicate texts by the Jaccard similarity of their character n-grams.
 
-Two texts similar to t share one of their rarest grams: of a text with n grams, the first n - ceil(t n) + 1 in the order of rarity
-are enough. Pairs come from that prefix, are thinned by length, and checked on the whole sets. Texts that differ only in white space
+Two texts similar to t share some of their rarest grams: of a text with n grams, the first n - ceil(t n) + SHARED in the order of rarity
+hold SHARED of the common ones (or all, if there are fewer). Pairs come from that prefix, are thinned by length and by the grams they
+share there, and checked on the whole sets. Texts that differ only in white space
 share a set and meet once.
 """
 
@@ -14,6 +15,9 @@ from ripplework.operators.graph import hash_order, linked_groups
 from ripplework.plans.cluster import cut
 
 
+SHARED = 4
+
+
 def char_ngrams(text: Column | str, n: int = 3) -> Column:
     """The distinct character n-grams of the text with single blanks for white space. A shorter text is its own gram, an empty one has none."""
     text = F.trim(F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"\s+", " "))
@@ -31,7 +35,7 @@ def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     each = sets.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     rarity = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(rarity, "gram").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("o"))
-    first = F.slice("o", 1, (F.col("size") - F.ceil(threshold * F.col("size")) + 1).cast("int"))
+    first = F.slice("o", 1, (F.col("size") - F.ceil(threshold * F.col("size")) + SHARED).cast("int"))
     return ranked.select("id", "size", F.explode(first).alias("p")).select("id", "size", "p.gram")
 
 
@@ -43,10 +47,12 @@ def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _meeting(prefix: DataFrame, threshold: float, apart: str) -> DataFrame:
-    """Pairs that share a prefix gram, are of like length, and differ in the column ``apart``."""
+    """Pairs that share enough prefix grams, are of like length, and differ in the column ``apart``."""
     a, b = prefix.alias("a"), prefix.alias("b")
     close = (F.col("a.id") < F.col("b.id")) & (F.col(f"a.{apart}") != F.col(f"b.{apart}")) & (F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size"))
-    return a.join(b, (F.col("a.gram") == F.col("b.gram")) & close).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & close).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.least("a.size", "b.size").alias("size"))
+    met = met.groupBy("src", "dst", "size").agg(F.count(F.lit(1)).alias("n"))
+    return met.filter(F.col("n") >= F.least(F.lit(SHARED), F.ceil(threshold * F.col("size")))).select("src", "dst")
 
 
 def similar_pairs(texts: DataFrame, id_col: str, text: str, threshold: float = 0.8, n: int = 3) -> DataFrame:

@@ -17,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ripplework.llm.tokens import RANKS, TOKENIZERS, Codec
+from ripplework.llm.tokens import RANKS, SPACE, TOKENIZERS, Codec
 
 LIMIT, OVERLAP = 1024, 64
 _CLOSERS = "[\"'”’»)\\]}]*"
 #: Boundaries from the strongest; each ends where the white space begins.
-_BOUNDARIES = tuple(map(re.compile, (r"(?<=\S)(?=[^\S\n]*\n[^\S\n]*\n)", r"(?<=\S)(?=[^\S\n]*\n)", rf"[.!?…؟。]{_CLOSERS}(?=\s)", rf"[,;:،؛]{_CLOSERS}(?=\s)", r"(?<=\S)(?=\s)")))
+_FULL, _BLANK, _INLINE = f"(?<=[^{SPACE}])", f"(?=[{SPACE}])", f"(?:(?!\\n)[{SPACE}])*"
+_BOUNDARIES = tuple(map(re.compile, (rf"{_FULL}(?={_INLINE}\n{_INLINE}\n)", rf"{_FULL}(?={_INLINE}\n)", f"[.!?…؟。]{_CLOSERS}{_BLANK}", f"[,;:،؛]{_CLOSERS}{_BLANK}", _FULL + _BLANK)))
+_SPACES = re.compile(f"[{SPACE}]")
 
 
 def pieces(text: str, codec: Codec, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
@@ -36,7 +38,7 @@ def pieces(text: str, codec: Codec, limit: int = LIMIT, overlap: int = OVERLAP)
     before = np.searchsorted(np.concatenate(([0], np.cumsum(codec.lengths[ids]))), np.concatenate(([0], np.cumsum(width))))
 
     def natural(at: int) -> bool:
-        return at in (0, len(text)) or text[at].isspace() and not text[at - 1].isspace()
+        return at in (0, len(text)) or bool(_SPACES.match(text[at])) and not _SPACES.match(text[at - 1])
 
     def tokens(a: int, b: int) -> int:
         return int(before[b] - before[a]) if natural(a) and natural(b) else len(codec.encode(text[a:b]))

@@ -2,8 +2,9 @@
 
 A text is encoded as it stands, special-token strings included. A NULL text and an empty one both have the empty list of ids.
 Long texts are split before encoding where the vocabulary's pre-tokenizer splits in any case: between a character that isn't
-white space and white space after it. A stretch without such a place is encoded whole. Bytes that aren't UTF-8 are encoded
-as bytes. Decoding gives the bytes of the text, so it is exact for every id list.
+white space and white space after it. A stretch without such a place is encoded whole, but for long runs of white space, which
+its pattern could not backtrack over: the run, less its last character where a text follows, is one pre-token. Bytes that aren't UTF-8
+are encoded as bytes. Decoding gives the bytes of the text, so it is exact for every id list.
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenizer of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_TEXT = 65_536
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+LONG_BLANK = 4_096
+#: White space as the pre-tokenizer knows it. Python's own has the separators U+001C to U+001F as well.
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SAFE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
+_BLANK = re.compile(f"[{SPACE}]{{{LONG_BLANK},}}")
 
 
 class Codec:
@@ -50,6 +55,11 @@ class Codec:
         while at < len(text):
             cut = _SAFE.search(text, at + long_text) if at + long_text < len(text) else None
             end = cut.start() if cut else len(text)
+            for blank in _BLANK.finditer(text, at, end):
+                stop = blank.end() - (blank.end() < len(text))
+                ids += self._encoding.encode_ordinary(text[at : blank.start()])
+                ids += self._encoding._encode_single_piece(text[blank.start() : stop])
+                at = stop
             ids += self._encoding.encode_ordinary(text[at:end])
             at = end
         return ids

@@ -44,6 +44,21 @@ def test_long_texts_split_safely(codec, texts):
     assert codec.decode(codec.encode(whole)) == whole.encode()
 
 
+def test_odd_white_space_and_separators(codec):
+    rng = random.Random(3)
+    odd = ["a", "é", " ", "  ", "\n", "\x1c", "\x1f", "\x85", "!", "'s", "9", "漢", "\u200b", " " * 5_000, " x"]
+    for _ in range(60):
+        t = "".join(rng.choices(odd, k=rng.randint(1, 200)))
+        assert codec.encode(t, 8) == codec.encode(t, len(t))
+        short = t.replace(" " * 5_000, "   ")
+        assert all(n == len(codec.encode(short[s:e])) <= 60 for s, _, e, n in pieces(short, codec, 60, 8))
+
+
+@pytest.mark.parametrize("text", [" " * 1_100_000, "x" + " \t" * 600_000 + "y z", "!\x1c" * 550_000])
+def test_very_long_runs(codec, text):
+    assert codec.decode(codec.encode(text)) == text.encode()
+
+
 def test_round_trip_of_bytes(spark):
     rows = [(i, t) for i, t in enumerate(ODD)]
     back = round_trip(spark.createDataFrame(rows, "i int, text string"), "text").collect()

@@ -54,11 +54,13 @@ def _merge_runs(k: int):
         totals: dict[str, int] = {}
         last: tuple[str, str | None, int] | None = None
 
-        def keep(field: str, values: list, counts: list) -> None:
+        def keep(field: str, values: pa.Array, counts: np.ndarray) -> None:
             best = heaps.setdefault(field, [])
-            least = best[-1][1] if len(best) == k else 0
-            best += [(v, n) for v, n in zip(values, counts) if v is not None and n >= least]
-            heaps[field] = heapq.nsmallest(k, best, key=lambda x: (-x[1], x[0]))
+            # values come in their order, so of equal counts those held already go first
+            above = pc.is_valid(values).to_numpy(zero_copy_only=False) & (counts > (best[-1][1] if len(best) == k else 0))
+            if above.any():
+                best += zip(values.filter(pa.array(above)).to_pylist(), counts[above].tolist())
+                heaps[field] = heapq.nsmallest(k, best, key=lambda x: (-x[1], x[0]))
 
         for batch in batches:
             if not batch.num_rows:
@@ -71,20 +73,23 @@ def _merge_runs(k: int):
                 alike = pc.and_(pc.equal(field.slice(1), field.slice(0, len(n) - 1)), pc.or_(pc.fill_null(pair, False), both_null))
                 same[1:] = alike.to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(~same)
-            counts = np.add.reduceat(n, starts).tolist()
-            fields, values = field.take(pa.array(starts)).to_pylist(), value.take(pa.array(starts)).to_pylist()
+            counts = np.add.reduceat(n, starts)
+            field, value = field.take(pa.array(starts)), value.take(pa.array(starts))
             if last is not None:
-                if (fields[0], values[0]) == last[:2]:
+                if (field[0].as_py(), value[0].as_py()) == last[:2]:
                     counts[0] += last[2]
+                    totals[last[0]] -= last[2]
                 else:
-                    keep(last[0], [last[1]], [last[2]])
-            last = (fields[-1], values[-1], counts[-1])
-            for f in dict.fromkeys(fields):
-                i, j = fields.index(f), len(fields) - fields[::-1].index(f)
-                keep(f, values[i : min(j, len(fields) - 1)], counts[i : min(j, len(fields) - 1)])
-                totals[f] = totals.get(f, 0) + int(n[(starts[i]) : (starts[j] if j < len(starts) else len(n))].sum())
+                    keep(last[0], pa.array([last[1]], pa.string()), np.array([last[2]]))
+            last = (field[-1].as_py(), value[-1].as_py(), int(counts[-1]))
+            coded = field.dictionary_encode()
+            for i, f in enumerate(coded.dictionary.to_pylist()):
+                at = np.flatnonzero(coded.indices.to_numpy() == i)
+                totals[f] = totals.get(f, 0) + int(counts[at].sum())
+                at = at[at < len(counts) - 1]
+                keep(f, value.take(pa.array(at)), counts[at])
         if last is not None:
-            keep(last[0], [last[1]], [last[2]])
+            keep(last[0], pa.array([last[1]], pa.string()), np.array([last[2]]))
         rows = [(f, v, n) for f, best in heaps.items() for v, n in best] + [(f, None, n) for f, n in totals.items()]
         if rows:
             f, v, n = zip(*rows)

@@ -5,12 +5,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 from ripplework.llm.copies import Copies, parse_payload
-from ripplework.llm.frequent import frequent_items, items_above
+from ripplework.llm.frequent import _merge_runs, frequent_items, items_above
 from ripplework.llm.terms import TERM, term_counts
 
 # most frequent items
@@ -28,6 +29,23 @@ def test_top_items(spark, buffer_rows):
     assert {r.total for r in got} == {1500}
 
 
+def test_runs_merge_across_batches():
+    rng = random.Random(5)
+    for _ in range(100):
+        rows = [(rng.choice("ab"), rng.choice([None, "", *map(str, range(20))]), rng.randint(1, 5)) for _ in range(rng.randint(1, 120))]
+        rows.sort(key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+        cuts = [0, *sorted(rng.choices(range(len(rows)), k=5)), len(rows)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a:b]], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["field", "value", "n"]) for a, b in zip(cuts, cuts[1:])]
+        k, want = rng.randint(1, 6), []
+        for f in {r[0] for r in rows}:
+            counts = Counter()
+            for _, v, n in (r for r in rows if r[0] == f):
+                counts[v] += n
+            want += [(f, None, sum(counts.values())), *((f, v, n) for v, n in sorted(((v, n) for v, n in counts.items() if v is not None), key=lambda x: (-x[1], x[0]))[:k])]
+        got = [tuple(r.values()) for b in _merge_runs(k)(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_items_of_empty_and_null_columns(spark):
     df = spark.createDataFrame([(None,), (None,)], "v string")
     assert frequent_items(df, {"v": F.col("v")}, 5).count() == 0

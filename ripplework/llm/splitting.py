@@ -17,14 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ripplework.llm.tokens import RANKS, SPACE, TOKENIZERS, Codec
+from ripplework.llm.tokens import RANKS, TOKENIZERS, Codec, spaced
 
 LIMIT, OVERLAP = 1024, 64
 _CLOSERS = "[\"'”’»)\\]}]*"
 #: Boundaries from the strongest; each ends where the white space begins.
-_FULL, _BLANK, _INLINE = f"(?<=[^{SPACE}])", f"(?=[{SPACE}])", f"(?:(?!\\n)[{SPACE}])*"
-_BOUNDARIES = tuple(map(re.compile, (rf"{_FULL}(?={_INLINE}\n{_INLINE}\n)", rf"{_FULL}(?={_INLINE}\n)", f"[.!?…؟。]{_CLOSERS}{_BLANK}", f"[,;:،؛]{_CLOSERS}{_BLANK}", _FULL + _BLANK)))
-_SPACES = re.compile(f"[{SPACE}]")
+_BOUNDARIES = tuple(map(re.compile, (r"(?<=\S)(?=[^\S\n]*\n[^\S\n]*\n)", r"(?<=\S)(?=[^\S\n]*\n)", rf"[.!?…؟。]{_CLOSERS}(?=\s)", rf"[,;:،؛]{_CLOSERS}(?=\s)", r"(?<=\S)(?=\s)")))
 
 
 def pieces(text: str, codec: Codec, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
@@ -32,13 +30,14 @@ def pieces(text: str, codec: Codec, limit: int = LIMIT, overlap: int = OVERLAP)
     ids = codec.encode(text)
     if len(ids) <= limit:
         return [(0, 0, len(text), len(ids))]
+    seen = spaced(text)
     width = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     width = 1 + (width > 0x7F).astype(np.int64) + (width > 0x7FF) + (width > 0xFFFF)
     # tokens before each character
     before = np.searchsorted(np.concatenate(([0], np.cumsum(codec.lengths[ids]))), np.concatenate(([0], np.cumsum(width))))
 
     def natural(at: int) -> bool:
-        return at in (0, len(text)) or bool(_SPACES.match(text[at])) and not _SPACES.match(text[at - 1])
+        return at in (0, len(text)) or seen[at].isspace() and not seen[at - 1].isspace()
 
     def tokens(a: int, b: int) -> int:
         return int(before[b] - before[a]) if natural(a) and natural(b) else len(codec.encode(text[a:b]))
@@ -47,7 +46,7 @@ def pieces(text: str, codec: Codec, limit: int = LIMIT, overlap: int = OVERLAP)
         mid, quarter = (before[a] + before[b]) / 2, (before[b] - before[a]) / 4
         lo, hi = (int(np.searchsorted(before, mid + d, side)) for d, side in ((-quarter, "left"), (quarter, "right")))
         for kind in _BOUNDARIES:
-            if at := [m.end() for m in kind.finditer(text, max(lo - 1, a), min(hi + 1, len(text))) if max(lo, a + 1) <= m.end() < min(hi, b)]:
+            if at := [m.end() for m in kind.finditer(seen, max(lo - 1, a), min(hi + 1, len(text))) if max(lo, a + 1) <= m.end() < min(hi, b)]:
                 return min(at, key=lambda x: (abs(before[x] - mid), x))
         return min(max(int(np.searchsorted(before, mid)), a + 1), b - 1)
 
@@ -63,7 +62,7 @@ def pieces(text: str, codec: Codec, limit: int = LIMIT, overlap: int = OVERLAP)
     out = [(0, 0, cores[0][1], tokens(*cores[0]))]
     for a, b in cores[1:]:
         least = int(np.searchsorted(before, before[a] - overlap))
-        near = _BOUNDARIES[-1].search(text, least, a)
+        near = _BOUNDARIES[-1].search(seen, least, a)
         start = near.end() if near else least
         # a cut inside a word can change its tokens
         while start < a and (more := max(tokens(start, a) - overlap, tokens(start, b) - limit)) > 0:

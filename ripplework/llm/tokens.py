@@ -26,10 +26,16 @@ RANKS = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_TEXT = 65_536
 LONG_BLANK = 4_096
-#: White space as the pre-tokenizer knows it. Python's own has the separators U+001C to U+001F as well.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_SAFE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
-_BLANK = re.compile(f"[{SPACE}]{{{LONG_BLANK},}}")
+_SAFE = re.compile(r"(?<=\S)(?=\s)")
+_BLANK = re.compile(rf"\s{{{LONG_BLANK},}}")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+def spaced(text: str) -> str:
+    """The text for searches of white space: the separators U+001C to U+001F, which are white space to Python but not to the
+    pre-tokenizer, are replaced by another character that isn't."""
+    return _SEPARATORS.sub("\x00", text)
+
 
 
 class Codec:
@@ -51,11 +57,11 @@ class Codec:
             return []
         if len(text) <= long_text:
             return self._encoding.encode_ordinary(text)
-        ids, at = [], 0
+        ids, at, seen = [], 0, spaced(text)
         while at < len(text):
-            cut = _SAFE.search(text, at + long_text) if at + long_text < len(text) else None
+            cut = _SAFE.search(seen, at + long_text) if at + long_text < len(text) else None
             end = cut.start() if cut else len(text)
-            for blank in _BLANK.finditer(text, at, end):
+            for blank in _BLANK.finditer(seen, at, end):
                 stop = blank.end() - (blank.end() < len(text))
                 ids += self._encoding.encode_ordinary(text[at : blank.start()])
                 ids += self._encoding._encode_single_piece(text[blank.start() : stop])

@@ -8,7 +8,7 @@ from ripplework.operators import audit
 from ripplework.operators import coordination as co
 from ripplework.operators import profile as pro
 from ripplework.operators.graph import CoActivity
-from ripplework.operators.neardup import near_dup_groups, similar_pairs
+from ripplework.operators.neardup import char_ngrams, near_dup_groups, similar_pairs
 from ripplework.operators.segments import DIMENSIONS, breakdown, gaps
 from ripplework.operators.topics import Topics
 from ripplework.plans.base_sql import ACCOUNTS, DUP, sql
@@ -24,6 +24,11 @@ def _retweets_of_dup(posts):
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), pro.pct(F.count_if(F.upper("engagement") == RETWEET), F.count(F.lit(1))).alias("share_pct"))
 
 
+def _text_ngrams(posts):
+    grams = co.dup_texts(posts).select("n", F.explode(char_ngrams("text")).alias("gram"))
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_copies"))
+
+
 def _near_pairs(posts):
     texts = co.dup_texts(posts).select(F.xxhash64("text").alias("id"), "text")
     pairs = similar_pairs(texts, "id", "text")
@@ -55,6 +60,9 @@ QUERIES = {
     "dup_texts": _q(co.dup_texts),
     "duplication": _q(co.duplication),
     "copy_paste_rate": _q(lambda p: co.duplication(p).select("copy_paste_rate_pct")),
+    "verbatim_rate": _q(lambda p: co.duplication(p).select("n_distinct_duplicated_texts", "verbatim_duplication_rate_pct")),
+    "null_model_lift": _q(lambda p: co.synchrony(p).select("expected_within_delta_uniform_pct", "synchrony_lift_vs_uniform")),
+    "char_ngrams": _q(_text_ngrams),
     "retweet_share_of_dup": _q(_retweets_of_dup),
     "minute_bursts": _q(co.minute_bursts),
     "synchrony_per_text": _q(lambda p: co.synchrony_per_text(p).withColumn("expected", F.round("expected", 6))),
@@ -118,6 +126,12 @@ SELECT (SELECT count(*) FROM dup) AS n_distinct_duplicated_texts, round((SELECT
   (SELECT round(sum(k) FILTER (WHERE k >= 2 AND text <> '') * 100.0 / sum(k), 1) FROM own) AS copy_paste_rate_pct
 FROM p""", DUP, "\nown AS (SELECT text, count(*) AS k FROM p WHERE upper(engagement) NOT IN ('RETWEET', 'REPLY') GROUP BY 1)"),
     "copy_paste_rate": sql("SELECT round(sum(k) FILTER (WHERE k >= 2 AND text <> '') * 100.0 / sum(k), 1) AS copy_paste_rate_pct FROM (SELECT text, count(*) AS k FROM p WHERE upper(engagement) NOT IN ('RETWEET', 'REPLY') GROUP BY 1)"),
+    "verbatim_rate": sql("SELECT (SELECT count(*) FROM dup) AS n_distinct_duplicated_texts, round((SELECT sum(n) FROM dup) * 100.0 / count(*), 1) AS verbatim_duplication_rate_pct FROM p", DUP),
+    "null_model_lift": sql("""
+SELECT round(sum(expected) / sum(copies) * 100, 1) AS expected_within_delta_uniform_pct, round((sum(within) / sum(copies)) / (sum(expected) / sum(copies)), 1) AS synchrony_lift_vs_uniform FROM ex""", _SYNC),
+    "char_ngrams": sql("""
+SELECT gram, count(*) AS n_texts, CAST(sum(n) AS BIGINT) AS n_copies FROM (SELECT n, unnest(CASE WHEN c = '' THEN [] WHEN len(c) < 3 THEN [c] ELSE list_distinct(list_transform(range(1, len(c) - 1), lambda i: substr(c, i, 3))) END) AS gram FROM g) GROUP BY 1""", DUP, """
+g AS (SELECT n, regexp_replace(trim(text, E' \\t\\n\\r'), '\\s+', ' ', 'g') AS c FROM dup)"""),
     "retweet_share_of_dup": sql("SELECT count(*) AS n_rows, round(count(*) FILTER (WHERE upper(engagement) = 'RETWEET') * 100.0 / count(*), 1) AS share_pct FROM p SEMI JOIN dup USING (text)", DUP),
     "minute_bursts": sql("SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute, text, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY 3 DESC, 1, 2 LIMIT 15"),
     "synchrony_per_text": sql("SELECT text, copies, within, median_gap, span, round(expected, 6) AS expected, round(within * 100.0 / copies, 1) AS within_pct FROM ex", _SYNC),

@@ -6,7 +6,9 @@ of least hash is the pivot and absorbs whoever is plainly like it; the others ar
 of each set sorts out strangers; every remaining pair is checked on its word sets, so no false link is used.
 
 Links then feed the rounds: a set whose hash is less than that of all its active neighbours is a pivot and absorbs these.
-For clusters, rounds go on among the sets not yet absorbed, members are reassigned to the pivot most like them, and the medoids follow.
+The links hold the groups together but leave out pairs that are joined through others. For clusters they only propose pivots: of similar
+pivots one stays, every set is held against all pivots it shares a bucket with, rounds go on among the sets that no pivot is like,
+members go to the pivot most like them, and the medoids follow.
 For groups linked by similarity, each round's clusters are contracted to their pivots and the links between clusters go on, until none is left.
 
 Recall of a single link of similarity s is 1 - (1 - s**5)**80: 0.92 at 0.5, 0.998 at 0.6, one from 0.65 on. A member is in
@@ -188,11 +190,64 @@ def pivot_clusters(edges: DataFrame) -> DataFrame:
     return own.unionByName(closest)
 
 
+def near_pivots(sets: DataFrame, pivots: DataFrame, shape: tuple[int, int], threshold: float) -> DataFrame:
+    """``set_id``, ``pivot`` and ``sim`` of each of ``sets`` and each of ``pivots`` (both with ``hashes``) that share a bucket and are similar
+    enough. No pairs of members are formed."""
+    schema = "bucket long, set_id long, label long, s1 long, s2 long"
+
+    def banded(df: DataFrame) -> DataFrame:
+        return df.select("set_id", "hashes", F.col("set_id").alias("label")).mapInArrow(_bands(*shape), schema).select("bucket", "set_id", "s1", "s2")
+
+    of = banded(pivots).select("bucket", F.col("set_id").alias("pivot"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
+    differ = sum(F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"p{k}"))) for k in (1, 2))
+    met = banded(sets).join(of, "bucket").filter((F.col("set_id") != F.col("pivot")) & (differ <= 128 - MAYBE)).select("set_id", "pivot").distinct()
+    both = met.join(sets.select("set_id", "hashes"), "set_id").join(pivots.select(F.col("set_id").alias("pivot"), F.col("hashes").alias("_of")), "pivot")
+    shared = F.size(F.array_intersect("hashes", "_of"))
+    return both.select("set_id", "pivot", (shared / (F.size("hashes") + F.size("_of") - shared)).alias("sim")).filter(F.col("sim") >= threshold)
+
+
+def whole_clusters(sets: DataFrame, edges: DataFrame, threshold: float, shape: tuple[int, int] = FINE) -> DataFrame:
+    """``set_id`` and ``pivot`` of every end of an edge. ``edges`` hold the groups together but not all neighbours, so they only propose
+    pivots. Of pivots that are similar the one of least hash stays, in rounds until no two are; then every set is held against the
+    pivots. Sets that none of them is like go through the same again, and last each set goes to the pivot most like it."""
+    edges = cut(edges)
+    ends = edges.select(F.col("src").alias("set_id"), F.col("dst").alias("pivot"), "sim").unionByName(edges.select(F.col("dst").alias("set_id"), F.col("src").alias("pivot"), "sim"))
+    linked = cut(sets.select("set_id", "hashes").join(ends.select("set_id").distinct(), "set_id"))
+    active, chosen, near = linked, None, None
+    while not active.isEmpty():
+        inner = edges
+        for end in ("src", "dst"):
+            inner = inner.join(active.select(F.col("set_id").alias(end)), end, "left_semi")
+        proposed = pivot_clusters(inner)
+        members = proposed.filter("set_id <> pivot").select("set_id")
+        pivots = cut(active.join(members, "set_id", "left_anti"))
+        while not (similar := cut(links(pivots, None, shape, threshold).select("src", "dst"))).isEmpty():
+            gone = absorb(similar).filter("node <> pivot").select(F.col("node").alias("set_id"))
+            pivots = cut(pivots.join(gone, "set_id", "left_anti"))
+        ids = pivots.select(F.col("set_id").alias("pivot"))
+        found = near_pivots(active, pivots, shape, threshold).unionByName(ends.join(ids, "pivot", "left_semi").select("set_id", "pivot", "sim"))
+        found = cut(found)
+        rest = active.join(found.select("set_id").distinct(), "set_id", "left_anti").join(pivots.select("set_id"), "set_id", "left_anti")
+        if chosen is None:
+            chosen, near, later = pivots, found, None
+        else:
+            chosen, near = chosen.unionByName(pivots), near.unionByName(found)
+            later = pivots if later is None else later.unionByName(pivots)
+        active = cut(rest)
+    if chosen is None:
+        return linked.select("set_id", F.col("set_id").alias("pivot"))
+    if later is not None:  # sets that earlier pivots took in may be more like a later one
+        near = near.unionByName(near_pivots(linked, later, shape, threshold))
+    own = chosen.select("set_id", F.col("set_id").alias("pivot"))
+    closest = near.join(own.select("set_id"), "set_id", "left_anti").groupBy("set_id").agg(F.min(F.struct((-F.col("sim")).alias("d"), hash_order("pivot").alias("h"), "pivot"))["pivot"].alias("pivot"))
+    return own.unionByName(closest)
+
+
 class Narratives:
     """The messages of ``df``. NULL, blank and short messages take part in no cluster but count as records."""
 
     def __init__(self, df: DataFrame, id_col: str, text: str, min_words: int = MIN_WORDS, similarity: float = SIMILARITY):
-        self.df, self.id_col = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), id_col
+        self.df, self.id_col, self.similarity = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), id_col, similarity
         self.rows = word_sets(self.df, "_id", "_text", min_words)
         self.sets = cut(self.rows.groupBy("k1", "k2", "hashes").agg(F.min("_id").cast("long").alias("set_id"), F.count(F.lit(1)).alias("n")))
         close = cut(links(self.sets, None, CLOSE, similarity))
@@ -221,7 +276,7 @@ class Narratives:
 
         The typicality of a text is its similarity to the cluster's word profile: the words it shares with the mean member
         over the words found in either."""
-        sets = self.sets.join(pivot_clusters(self.edges), "set_id", "left").withColumn("pivot", F.coalesce("pivot", "set_id"))
+        sets = self.sets.join(whole_clusters(self.sets, self.edges, self.similarity), "set_id", "left").withColumn("pivot", F.coalesce("pivot", "set_id"))
         sets = cut(sets)
         sizes = sets.groupBy("pivot").agg(F.sum("n").alias("n_posts"), F.count(F.lit(1)).alias("n_texts"), F.sum(F.col("n") * F.size("hashes")).alias("_words")).filter("n_posts > 1")
         exploded = sets.select("pivot", "set_id", "n", F.size("hashes").alias("size"), F.explode("hashes").alias("word"))

@@ -7,7 +7,7 @@ import numpy as np
 import regex
 from pyspark.sql import functions as F
 
-from ripplework.llm.narratives import FINE, Narratives, links, pivot_clusters, word_sets
+from ripplework.llm.narratives import FINE, Narratives, links, pivot_clusters, whole_clusters, word_sets
 from ripplework.plans.cluster import cut
 
 WORDS = [f"mot{i}" for i in range(400)]
@@ -97,3 +97,29 @@ def test_a_large_family_of_different_texts(spark):
     want, _ = brute(rows)
     got = Narratives(spark.createDataFrame(rows, "id long, text string").repartition(6), "id", "text").found().collect()
     assert {(r.cluster_id, r.id) for r in got} == want and len(want) >= 1600
+
+
+def test_pivots_against_all_links(spark):
+    """Families joined through third sets: no two pivots are similar, and each set is with the pivot most like it, by brute force."""
+    rng = random.Random(21)
+    rows, i = [], 0
+    for _ in range(12):
+        base = rng.sample(WORDS, 40)
+        for _ in range(40):
+            rows.append((i, " ".join(sorted(rng.sample(base, rng.choice([26, 30, 34]))) + rng.sample(WORDS, 2))))
+            i += 1
+    n = Narratives(spark.createDataFrame(rows, "id long, text string").repartition(5), "id", "text")
+    words = {i: frozenset(t.split()) for i, t in rows}
+    own = {r.set_id: r.pivot for r in whole_clusters(n.sets, n.edges, 0.5).collect()}
+
+    def sim(a, b):
+        return len(words[a] & words[b]) / len(words[a] | words[b])
+
+    pivots = sorted(set(own.values()))
+    assert set(own) == {a for e in n.edges.collect() for a in (e.src, e.dst)} and all(own[p] == p for p in pivots)
+    # recall is 0.9997 and more from 0.63 on
+    assert not [(a, b) for a in pivots for b in pivots if a < b and sim(a, b) >= 0.63]
+    for s, p in own.items():
+        best = max(sim(s, q) for q in pivots)
+        assert s == p or (sim(s, p) >= 0.5 and (sim(s, p) == best or best < 0.63))
+    assert len({r.pivot_id for r in n.described().collect()} - set(pivots)) == 0

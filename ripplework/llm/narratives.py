@@ -33,7 +33,7 @@ MIN_WORDS, SIMILARITY = 12, 0.5
 CLOSE, FINE = (10, 6), (80, 5)
 #: Bits of 128 that agree: at a similarity of 0.5 they are 96 +- 5, of strangers 72 +- 6.
 PLAIN, MAYBE = 109, 82
-PIVOTS_KEPT, PAIRS_AT_ONCE = 64, 1_000_000
+PAIRS_AT_ONCE = 1_000_000
 #: One set in so many is looked at for large buckets, which hold more than so many of them.
 PROBE, PROBE_LEAST = 64, 16
 
@@ -82,54 +82,64 @@ def _bands(bands: int, rows: int):
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs to check of the buckets, which come one after another, each in hash order. Of a bucket that goes on in the next
-    batch, its first members stay at hand as pivots."""
-    names, kept = ["bucket", "set_id", "label", "s1", "s2"], None
+    """Pairs to check of the buckets, which come one after another, each in hash order. A bucket that goes on in the next
+    batches is kept whole until it ends."""
+    names, open_ = ["bucket", "set_id", "label", "s1", "s2"], []
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = [batch.column(c).to_numpy() for c in names]
-        if kept is not None:
-            rows = [np.concatenate(x) for x in zip(kept, rows)]
-        new = np.ones(len(rows[0]), bool)
-        new[1:] = rows[0][1:] != rows[0][:-1]
-        starts = np.flatnonzero(new)
-        kept = [x[starts[-1] : starts[-1] + PIVOTS_KEPT].copy() for x in rows]
-        sizes = np.diff(np.append(starts, len(new)))
-        bucket = np.cumsum(new) - 1
-        some = sizes[bucket] > 1
-        if not some.any():
-            continue
-        _, ids, label, s1, s2 = rows
-
-        def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return 128 - np.bitwise_count((s1[a] ^ s1[b]).view(np.uint64)).astype(np.int64) - np.bitwise_count((s2[a] ^ s2[b]).view(np.uint64))
-
-        row, pivot = np.flatnonzero(some & ~new), starts[bucket[some & ~new]]
-        alike, apart = agree(row, pivot), label[row] != label[pivot]
-        take = apart & (alike >= MAYBE)
-        pairs = [(ids[pivot[take]], ids[row[take]])]
-        absorbed = np.zeros(len(new), bool)
-        absorbed[row] = ~apart | (alike >= PLAIN)
-        rest = row[~absorbed[row]]
-        to = np.cumsum(sizes[bucket[rest]])
-        at = 0
-        while at < len(rest):
-            end = max(at + 1, int(np.searchsorted(to, (to[at - 1] if at else 0) + PAIRS_AT_ONCE)))
-            part = rest[at:end]
-            n = sizes[bucket[part]]
-            one = np.repeat(part, n)
-            other = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[bucket[part]], n)
-            good = (label[one] != label[other]) & ~new[other] & (absorbed[other] | (other > one))
-            one, other = one[good], other[good]
-            good = agree(one, other) >= MAYBE
-            pairs.append((ids[one[good]], ids[other[good]]))
-            at = end
-        a, b = (np.concatenate(x) for x in zip(*pairs))
+        if not open_ or rows[0][-1] != open_[0][0][-1]:
+            rows = [np.concatenate(x) for x in zip(*open_, rows)]
+            start = int(np.searchsorted(rows[0], rows[0][-1]))
+            open_ = []
+            if start:
+                yield from _pairs_within([x[:start] for x in rows])
+            rows = [x[start:] for x in rows]
+        open_.append([x.copy() for x in rows])
+    if open_:
+        yield from _pairs_within([np.concatenate(x) for x in zip(*open_)])
+
+
+def _pairs_within(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole buckets, ``PAIRS_AT_ONCE`` or one member's at once."""
+    bucket_key, ids, label, s1, s2 = rows
+    new = np.ones(len(ids), bool)
+    new[1:] = bucket_key[1:] != bucket_key[:-1]
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(new)))
+    bucket = np.cumsum(new) - 1
+    some = sizes[bucket] > 1
+
+    def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return 128 - np.bitwise_count((s1[a] ^ s1[b]).view(np.uint64)).astype(np.int64) - np.bitwise_count((s2[a] ^ s2[b]).view(np.uint64))
+
+    def batch_of(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(a):
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["src", "dst"])
 
+    row, pivot = np.flatnonzero(some & ~new), starts[bucket[some & ~new]]
+    alike, apart = agree(row, pivot), label[row] != label[pivot]
+    take = apart & (alike >= MAYBE)
+    yield from batch_of(ids[pivot[take]], ids[row[take]])
+    absorbed = np.zeros(len(new), bool)
+    absorbed[row] = ~apart | (alike >= PLAIN)
+    rest = row[~absorbed[row]]
+    to = np.cumsum(sizes[bucket[rest]])
+    at = 0
+    while at < len(rest):
+        end = max(at + 1, int(np.searchsorted(to, (to[at - 1] if at else 0) + PAIRS_AT_ONCE)))
+        part = rest[at:end]
+        n = sizes[bucket[part]]
+        one = np.repeat(part, n)
+        other = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[bucket[part]], n)
+        good = (label[one] != label[other]) & ~new[other] & (absorbed[other] | (other > one))
+        one, other = one[good], other[good]
+        good = agree(one, other) >= MAYBE
+        yield from batch_of(ids[one[good]], ids[other[good]])
+        at = end
+
 
 def _spread(rows: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """The sets in their buckets. A bucket with more than a task's part of all sets, as one set in ``PROBE`` shows, is divided by hash.

@@ -4,10 +4,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
-from ripplework.llm.narratives import FINE, Narratives, links, pivot_clusters, whole_clusters, word_sets
+from ripplework.llm.narratives import FINE, Narratives, _bucket_pairs, links, pivot_clusters, whole_clusters, word_sets
 from ripplework.plans.cluster import cut
 
 WORDS = [f"mot{i}" for i in range(400)]
@@ -123,3 +124,15 @@ def test_pivots_against_all_links(spark):
         best = max(sim(s, q) for q in pivots)
         assert s == p or (sim(s, p) >= 0.5 and (sim(s, p) == best or best < 0.63))
     assert len({r.pivot_id for r in n.described().collect()} - set(pivots)) == 0
+
+
+def test_a_bucket_over_several_batches():
+    """Members that are not plainly like the pivot meet all others, wherever the batches end."""
+    n = 400
+    sketch = np.full(n, (1 << 32) - 1, np.int64)
+    sketch[0] = 0
+    columns = [np.full(n, 8, np.int64), np.arange(n), np.arange(n), sketch, np.zeros(n, np.int64)]
+    names = ["bucket", "set_id", "label", "s1", "s2"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[a : a + 150]) for c in columns], names) for a in range(0, n, 150)]
+    got = {(a, b) for r in _bucket_pairs(iter(batches)) for a, b in zip(r.column("src").to_pylist(), r.column("dst").to_pylist())}
+    assert got == {(a, b) for b in range(n) for a in range(b)}

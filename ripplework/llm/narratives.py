@@ -11,7 +11,9 @@ pivots one stays, every set is held against all pivots it shares a bucket with,
 members go to the pivot most like them, and the medoids follow.
 For groups linked by similarity, each round's clusters are contracted to their pivots and the links between clusters go on, until none is left.
 
-Recall of a single link of similarity s is 1 - (1 - s**5)**80: 0.92 at 0.5, 0.998 at 0.6, one from 0.65 on. A member is in
+A bucket too large for a task is divided into a grid of cells in which the same pairs meet.
+
+Recall of a single link of similarity s, however large its buckets, is 1 - (1 - s**5)**80: 0.92 at 0.5, 0.998 at 0.6, one from 0.65 on. A member is in
 its group if any of its links is found.
 """
 
@@ -36,6 +38,8 @@ PLAIN, MAYBE = 109, 82
 PAIRS_AT_ONCE = 1_000_000
 #: One set in so many is looked at for large buckets, which hold more than so many of them.
 PROBE, PROBE_LEAST = 64, 16
+#: The low bits of a bucket's key: a member of a whole bucket, or in a cell of a divided one a member plainly like the pivot or not, and one held against these.
+WHOLE, PLAINLY, REST, HELD = 0, 1, 2, 3
 
 
 def word_sets(df: DataFrame, id_col: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
@@ -82,16 +86,16 @@ def _bands(bands: int, rows: int):
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs to check of the buckets, which come one after another, each in hash order. A bucket that goes on in the next
-    batches is kept whole until it ends."""
+    """Pairs to check of the buckets and cells, which come one after another, each by its low bits, then in hash order. One that
+    goes on in the next batches is kept whole until it ends."""
     names, open_ = ["bucket", "set_id", "label", "s1", "s2"], []
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = [batch.column(c).to_numpy() for c in names]
-        if not open_ or rows[0][-1] != open_[0][0][-1]:
+        if not open_ or rows[0][-1] >> 2 != open_[0][0][-1] >> 2:
             rows = [np.concatenate(x) for x in zip(*open_, rows)]
-            start = int(np.searchsorted(rows[0], rows[0][-1]))
+            start = int(np.searchsorted(rows[0], rows[0][-1] >> 2 << 2))
             open_ = []
             if start:
                 yield from _pairs_within([x[:start] for x in rows])
@@ -103,13 +107,16 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _pairs_within(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """The pairs of whole buckets, ``PAIRS_AT_ONCE`` or one member's at once."""
-    bucket_key, ids, label, s1, s2 = rows
+    key, ids, label, s1, s2 = rows
+    role, key = key & 3, key >> 2
     new = np.ones(len(ids), bool)
-    new[1:] = bucket_key[1:] != bucket_key[:-1]
+    new[1:] = key[1:] != key[:-1]
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(new)))
     bucket = np.cumsum(new) - 1
-    some = sizes[bucket] > 1
+    some = (sizes[bucket] > 1) & (role == WHOLE)
+    # those held against the others come last in their cell
+    others = np.add.reduceat((role != HELD).astype(np.int64), starts)
 
     def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 128 - np.bitwise_count((s1[a] ^ s1[b]).view(np.uint64)).astype(np.int64) - np.bitwise_count((s2[a] ^ s2[b]).view(np.uint64))
@@ -125,16 +132,17 @@ def _pairs_within(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield from batch_of(ids[pivot[take]], ids[row[take]])
     absorbed = np.zeros(len(new), bool)
     absorbed[row] = ~apart | (alike >= PLAIN)
-    rest = row[~absorbed[row]]
-    to = np.cumsum(sizes[bucket[rest]])
+    rest = np.concatenate([row[~absorbed[row]], np.flatnonzero((role == HELD) & (others[bucket] > 0))])
+    to = np.cumsum(others[bucket[rest]])
     at = 0
     while at < len(rest):
         end = max(at + 1, int(np.searchsorted(to, (to[at - 1] if at else 0) + PAIRS_AT_ONCE)))
         part = rest[at:end]
-        n = sizes[bucket[part]]
+        n = others[bucket[part]]
         one = np.repeat(part, n)
         other = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[bucket[part]], n)
-        good = (label[one] != label[other]) & ~new[other] & (absorbed[other] | (other > one))
+        whole = ~new[other] & (absorbed[other] | (other > one))
+        good = (label[one] != label[other]) & np.where(role[one] == HELD, (role[other] == PLAINLY) | (ids[other] > ids[one]), whole)
         one, other = one[good], other[good]
         good = agree(one, other) >= MAYBE
         yield from batch_of(ids[one[good]], ids[other[good]])
@@ -142,22 +150,38 @@ def _pairs_within(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _spread(rows: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    """The sets in their buckets. A bucket with more than a task's part of all sets, as one set in ``PROBE`` shows, is divided by hash.
+    """The sets in their buckets. A bucket with more than a task's part of all sets, as one set in ``PROBE`` shows, is divided into a grid of cells.
 
-    Each bucket is divided differently, so its parts are linked through the other bands. There are at most as many such
-    buckets as bands times tasks, which bounds the broadcast table.
+    Its pivot is the probed member of least hash. Each member is in the cells of one line of the grid, and the pivot and whoever is not
+    plainly like it are held, in the cells of one column, against all lines; so every pair that a whole bucket forms meets in a cell.
+    The grid's shape keeps the copies few. There are at most as many such buckets as bands times tasks, which bounds the broadcast table.
     """
     schema, tasks = "bucket long, set_id long, label long, s1 long, s2 long", tasks_of(rows.sparkSession)
     banded = rows.mapInArrow(_bands(*shape), schema)
     probe = cut(rows.filter(F.pmod(F.xxhash64("set_id", F.lit(1)), F.lit(PROBE)) == 0))
     least = max(PROBE_LEAST, probe.count() // tasks)
-    large = probe.mapInArrow(_bands(*shape), schema).groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least)
-    large = cut(large.select("bucket", F.ceil(F.col("_n") * 2 / least).alias("_parts")))
+    seen = probe.mapInArrow(_bands(*shape), schema)
+    first = F.min(F.struct(hash_order("set_id").alias("h"), "set_id", "label", "s1", "s2"))
+    large = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), first.alias("_p")).filter(F.col("_n") > least)
+    large = cut(large.select("bucket", "_n", F.col("_p.set_id").alias("_pivot"), F.col("_p.label").alias("_label"), F.col("_p.s1").alias("_s1"), F.col("_p.s2").alias("_s2")))
+    whole = F.col("bucket").bitwiseAND(F.lit(-4))
     if large.isEmpty():
-        return banded
-    part = F.pmod(F.xxhash64("set_id", "bucket"), F.col("_parts"))
-    parted = banded.join(F.broadcast(large), "bucket", "left")
-    return parted.select(F.when(F.col("_parts").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", part)).alias("bucket"), "set_id", "label", "s1", "s2")
+        return banded.withColumn("bucket", whole)
+    differ = sum(F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"_s{k}"))) for k in (1, 2))
+    plain = (F.col("label") == F.col("_label")) | (differ <= 128 - PLAIN)
+    held = seen.join(F.broadcast(large), "bucket").groupBy("bucket").agg(F.greatest(F.count_if(~plain), F.lit(1)).alias("_held"))
+    parts = F.ceil(F.col("_n") * 2 / least)
+    grid = large.join(held, "bucket").withColumn("_lines", F.least(parts, F.ceil(F.sqrt(parts * F.col("_n") / F.col("_held"))))).withColumn("_columns", F.ceil(parts / F.col("_lines")))
+    parted = banded.join(F.broadcast(cut(grid.drop("_n", "_held"))), "bucket", "left")
+    line, column = F.pmod(F.xxhash64("set_id", "bucket"), F.col("_lines")), F.pmod(F.xxhash64("set_id", "bucket", F.lit(1)), F.col("_columns"))
+
+    def cell(i: Column, j: Column, role: Column) -> Column:
+        return F.xxhash64("bucket", i, j).bitwiseAND(F.lit(-4)) + role
+
+    own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_columns") - 1), lambda j: cell(line, j, F.when(plain, PLAINLY).otherwise(REST)))
+    against = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_lines") - 1), lambda i: cell(i, column, F.lit(HELD)))
+    cells = F.when(F.col("_lines").isNull(), F.array(whole)).when(plain & (F.col("set_id") != F.col("_pivot")), own).otherwise(F.concat(own, against))
+    return parted.select(F.explode(cells).alias("bucket"), "set_id", "label", "s1", "s2")
 
 
 def links(sets: DataFrame, labels: DataFrame | None, shape: tuple[int, int], threshold: float) -> DataFrame:
@@ -166,7 +190,7 @@ def links(sets: DataFrame, labels: DataFrame | None, shape: tuple[int, int], thr
     rows = sets.select("set_id", "hashes")
     rows = rows.withColumn("label", F.col("set_id")) if labels is None else rows.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     banded = _spread(rows, shape)
-    buckets = banded.repartition(tasks_of(spark), "bucket").sortWithinPartitions("bucket", hash_order("set_id"))
+    buckets = banded.repartition(tasks_of(spark), F.shiftright("bucket", 2)).sortWithinPartitions("bucket", hash_order("set_id"))
     pairs = buckets.mapInArrow(_bucket_pairs, "src long, dst long").distinct()
     left, right = (sets.select(F.col("set_id").alias(end), F.col("hashes").alias(f"_{end}")) for end in ("src", "dst"))
     both = pairs.join(left, "src").join(right, "dst")

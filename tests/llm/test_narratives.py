@@ -8,6 +8,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
+from ripplework.llm import narratives
 from ripplework.llm.narratives import FINE, Narratives, _bucket_pairs, links, pivot_clusters, whole_clusters, word_sets
 from ripplework.plans.cluster import cut
 
@@ -136,3 +137,17 @@ def test_a_bucket_over_several_batches():
     batches = [pa.RecordBatch.from_arrays([pa.array(c[a : a + 150]) for c in columns], names) for a in range(0, n, 150)]
     got = {(a, b) for r in _bucket_pairs(iter(batches)) for a, b in zip(r.column("src").to_pylist(), r.column("dst").to_pylist())}
     assert got == {(a, b) for b in range(n) for a in range(b)}
+
+
+def test_divided_buckets_lose_no_pair(spark, monkeypatch):
+    """A family of different texts shares few large buckets: divided or whole, the same links come out."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.sample(WORDS[:36], 28))) for i in range(160)] + [(i, " ".join(WORDS[100:130] + [f"seul{i}"])) for i in range(160, 240)]
+    sets = cut(word_sets(spark.createDataFrame(rows, "id long, text string"), "id", "text").withColumnRenamed("id", "set_id"))
+    monkeypatch.setattr(narratives, "PROBE", 1)
+    found = {}
+    for least in (8, 10_000):
+        monkeypatch.setattr(narratives, "PROBE_LEAST", least)
+        monkeypatch.setattr(narratives, "tasks_of", lambda spark, n=16 if least == 8 else 1: n)
+        found[least] = {(r.src, r.dst) for r in links(sets, None, (1, 1), 0.5).collect()}
+    assert found[8] == found[10_000] and len(found[8]) > 100

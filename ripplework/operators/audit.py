@@ -11,6 +11,10 @@ NUMBER = r"\d[\d\s  .,]*\d|\d"
 TONE = r"(?iu)\b(bots?|automatis\w+|robots?|prouv\w+|démontr\w+|orchestr\w+|manipulation)\b"
 
 
+#: A report has to cite so many known handles and grounded figures.
+MIN_FACTS = 3
+
+
 def handles(text: Column) -> Column:
     """The handles in a text, lower-cased."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(HANDLE), F.lit(1)), F.lower))
@@ -33,11 +37,13 @@ def _close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= 0.05 + 0.01 * F.abs(b)
 
 
-def findings(reports: DataFrame, keys: list[str], texts: list[str], known: DataFrame, values: DataFrame, max_values: int = 1000) -> DataFrame:
+def findings(reports: DataFrame, keys: list[str], texts: list[str], known: DataFrame, values: DataFrame, max_values: int = 1000, min_facts: int = 0, report: list[str] | None = None) -> DataFrame:
     """``keys``, ``kind``, ``severity`` and ``token`` of what a report claims without ground.
 
     ``known`` has the corpus' ``handle``s; ``values`` (``value``) the computed figures, at most ``max_values``. A number is grounded if it is
     close to a figure, to its hundredfold or hundredth, or is the gap of two. NULL texts claim nothing.
+    A report, which is all rows of equal ``report`` (by default ``keys``), is empty if it cites fewer than ``min_facts`` different known handles
+    and grounded numbers; each of its rows has that finding, with the count as its token.
     """
     whole = F.concat_ws("\n", *texts)
     rows = reports.select(*keys, whole.alias("_text"))
@@ -53,7 +59,34 @@ def findings(reports: DataFrame, keys: list[str], texts: list[str], known: DataF
     def of(df: DataFrame, kind: str, severity: str) -> DataFrame:
         return df.select(*keys, F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "token")
 
-    return of(named, "unknown_handle", "error").unionByName(of(claimed.filter(~grounded), "ungrounded_number", "warning")).unionByName(of(tone, "tone", "warning"))
+    found = of(named, "unknown_handle", "error").unionByName(of(claimed.filter(~grounded), "ungrounded_number", "warning")).unionByName(of(tone, "tone", "warning"))
+    if not min_facts:
+        return found
+    report = report or keys
+    present = rows.select(*report, F.explode(handles(F.col("_text"))).alias("token")).join(known.withColumnRenamed("handle", "token"), "token", "left_semi")
+    facts = present.select(*report, F.concat(F.lit("@"), "token").alias("token")).unionByName(claimed.filter(grounded).select(*report, "token"))
+    facts = facts.unionByName(rows.select(*report, F.lit(None).cast("string").alias("token"))).groupBy(*report).agg(F.count_distinct("token").alias("_facts"))
+    empty = rows.select(*keys).distinct().join(facts.filter(F.col("_facts") < min_facts), report)
+    return found.unionByName(of(empty.withColumn("token", F.col("_facts").cast("string")), "empty_diagnosis", "error"))
+
+
+def leaks(deliverables: DataFrame, reports: DataFrame, keys: list[str], texts: list[str], report_texts: list[str]) -> DataFrame:
+    """Like ``findings``, the handles (errors) and numbers (warnings) of deliverables that the report of the same ``keys`` doesn't contain. A
+    number is contained under the rules by which figures ground one."""
+    rows = deliverables.select(*keys, F.concat_ws("\n", *texts).alias("_text"))
+    blob = F.concat_ws("\n", F.flatten(F.collect_list(F.array(*report_texts))))
+    whole = reports.groupBy(*keys).agg(blob.alias("_report"))
+    both = rows.join(whole, keys, "left").withColumn("_report", F.coalesce("_report", F.lit("")))
+    new = both.select(*keys, F.explode(F.array_except(handles(F.col("_text")), handles(F.col("_report")))).alias("token"))
+    values = F.array_distinct(F.filter(F.transform(F.regexp_extract_all("_report", F.lit(NUMBER), F.lit(0)), lambda t: F.round(_compact(t).try_cast("double"), 4)), lambda v: v.isNotNull()))
+    pairs = F.flatten(F.transform("_v", lambda a: F.transform("_v", lambda b: F.round(F.abs(a - b), 2))))
+    figures = both.withColumn("_v", values).withColumn("_gaps", F.filter(F.array_distinct(pairs), lambda g: g > 0))
+    claimed = figures.select(*keys, "_v", "_gaps", F.explode(numbers(F.col("_text"))).alias("token"))
+    v = F.col("token").cast("double")
+    contained = F.exists("_v", lambda b: _close(v, b) | _close(v, b * 100) | _close(v, b / 100)) | F.array_contains("_gaps", F.round(v, 2))
+    of = [(new, "error"), (claimed.filter(~contained), "warning")]
+    handle, number = (df.select(*keys, F.lit("livrable_leak").alias("kind"), F.lit(severity).alias("severity"), "token") for df, severity in of)
+    return handle.unionByName(number).distinct()
 
 
 def verdicts(reports: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def _reports(spark, sf):
     values = counted.select(F.explode(F.array(*(F.col(c).cast("double") for c in counted.columns))).alias("value"))
     values = values.unionByName(pro.counts(posts, "sentiment").select(F.explode(F.array(F.col("n").cast("double"), "share_pct")).alias("value")))
     keys = ["run_id", "narratif_no"]
-    return reports, keys, audit.findings(reports, keys, ["nom", "resume", "exemple"], pro.known_handles(posts), values)
+    return reports, keys, audit.findings(reports, keys, ["nom", "resume", "exemple"], pro.known_handles(posts), values, min_facts=audit.MIN_FACTS, report=["run_id"])
 
 
 def _findings(spark, sf):

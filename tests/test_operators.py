@@ -300,3 +300,23 @@ def test_audit_findings(spark):
     found = audit.findings(reports, ["run"], ["t"], known, values)
     assert sorted((r.run, r.kind, r.token) for r in found.collect()) == [(1, "unknown_handle", "ghost"), (2, "tone", "bots"), (2, "ungrounded_number", "77777")]
     assert {r.run: r.verdict for r in audit.verdicts(reports, ["run"], found).collect()} == {1: "revision", 2: "ok", 3: "ok"}
+
+
+def test_reports_without_facts_and_leaks(spark):
+    texts = [(1, 1, "@Known a publié 1 234 messages"), (1, 2, "@known, soit 85,8 %"), (2, 1, "@known et @ghost, 77777 vues"), (2, 2, None)]
+    reports = spark.createDataFrame(texts, "run long, no int, t string")
+    known = spark.createDataFrame([("known",)], "handle string")
+    values = spark.createDataFrame([(1234.0,), (0.858,)], "value double")
+
+    def empty(**kwargs):
+        found = audit.findings(reports, ["run", "no"], ["t"], known, values, min_facts=audit.MIN_FACTS, **kwargs)
+        verdicts = {(r.run, r.no): r.verdict for r in audit.verdicts(reports, ["run", "no"], found).collect()}
+        return sorted((r.run, r.no, r.severity, r.token) for r in found.collect() if r.kind == "empty_diagnosis"), verdicts
+
+    rows, verdicts = empty(report=["run"])
+    assert rows == [(2, 1, "error", "1"), (2, 2, "error", "1")]
+    assert verdicts == {(1, 1): "ok", (1, 2): "ok", (2, 1): "revision", (2, 2): "revision"}
+    assert [r[:2] + r[3:] for r in empty()[0]] == [(1, 1, "2"), (1, 2, "2"), (2, 1, "1"), (2, 2, "0")]
+    made = spark.createDataFrame([(1, "@known et @other : 85,8 % puis 1148,20 vues et 5555 comptes"), (3, "@known 400")], "run long, d string")
+    leaks = audit.leaks(made, reports, ["run"], ["d"], ["t"])
+    assert sorted((r.run, r.severity, r.token) for r in leaks.collect()) == [(1, "error", "other"), (1, "warning", "5555"), (3, "error", "known"), (3, "warning", "400")]

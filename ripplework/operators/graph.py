@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplework.operators.coordination import post_windows
 from ripplework.operators.profile import accounts, pct
-from ripplework.plans.cluster import cut
+from ripplework.plans.cluster import cut, release
 
 
 def hash_order(c: str) -> Column:
@@ -31,15 +31,17 @@ def linked_groups(edges: DataFrame) -> DataFrame:
     each component.
     """
     edges = cut(edges.select("src", "dst").filter("src <> dst"))
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    labels = nodes.withColumn("label", F.col("node"))
+    labels = cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node")))
     while not edges.isEmpty():
         found = cut(absorb(edges))
         moved = edges
         for end in ("src", "dst"):
             moved = moved.join(found.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("pivot", end)).drop("pivot")
-        edges = cut(moved.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src <> dst").distinct())
-        labels = cut(labels.join(found.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("pivot", "label").alias("label")))
+        left = cut(moved.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src <> dst").distinct())
+        moved = cut(labels.join(found.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("pivot", "label").alias("label")))
+        release(edges, labels, found)
+        edges, labels = left, moved
+    release(edges)
     return labels
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +23,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to a table in the shared checkpoint folder and go on from there, with the columns that are needed. Its size on disk is known."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[written] = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``cut`` returned and that no plan still to run reads. Others are left alone."""
+    for df in tables:
+        if path := _WRITTEN.pop(df, None):
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def tasks_of(spark: SparkSession) -> int:

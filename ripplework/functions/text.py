@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed pattern: the path segment of a post's URL that names its author.
 URL_HANDLE = r"twitter\.com/([^/]+)/status"
+#: Fixed pattern: a term.
+TERM = "[a-zàâçéèêëîïôûùüÿñæœ]{3,}"
 
 
 def _col(c: Column | str) -> Column:
@@ -24,6 +26,11 @@ def url_handle(c: Column | str, pattern: str = URL_HANDLE) -> Column:
     return F.nullif(F.regexp_extract(_col(c), pattern, 1), F.lit(""))
 
 
+def text_key(c: Column | str) -> Column:
+    """128 bits that stand for a text where rows of equal texts are matched."""
+    return F.unhex(F.md5(_col(c)))
+
+
 def letters_digits(c: Column | str) -> Column:
     """The value without all but Unicode letters and numbers, lower-cased. NULL stays NULL."""
     return F.lower(F.regexp_replace(_col(c), r"[^\p{L}\p{N}]+", ""))

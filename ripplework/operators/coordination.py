@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ripplework.functions.text import text_key
 from ripplework.functions.time import date_of, floor_to, seconds
 from ripplework.operators.profile import pct
+from ripplework.plans.cluster import cut, lookup_join
 from ripplework.sources.posts import REPLY, RETWEET
 
 
@@ -55,7 +58,8 @@ def text_seconds(posts: DataFrame, min_dup: int = 5, keys: tuple[str, ...] = ())
 
 def synchrony_per_text(posts: DataFrame, delta: int = 60, min_dup: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
     """For each duplicated text: copies, those with another at most ``delta`` seconds away, median gap, life span, and the copies one would expect
-    within ``delta`` if all were spread evenly over it."""
+    within ``delta`` if all were spread evenly over it. Different gaps of a text add up to its life span at most, so the median looks at no
+    more values than the root of twice the span in seconds, however many copies there are."""
     at = Window.partitionBy(*keys, "text").orderBy("sec")
     rows = text_seconds(posts, min_dup, keys).withColumn("before", F.col("sec") - F.lag("sec").over(at)).withColumn("after", F.lead("sec").over(at) - F.col("sec"))
     near = (F.col("c") > 1) | (F.least("before", "after") <= delta)
@@ -82,49 +86,81 @@ def synchrony(posts: DataFrame, delta: int = 60, min_dup: int = 5) -> DataFrame:
     )
 
 
-def _anchors(delta: int, keys: int):
-    """The anchor of each second: the first of its window, which holds what is at most ``delta`` after it."""
+def top_synchronized(posts: DataFrame, delta: int = 60, min_dup: int = 5, k: int = 15) -> DataFrame:
+    """The ``k`` duplicated texts with the greatest share of copies within ``delta`` seconds of another, of equal shares those with more copies."""
+    found = synchrony_per_text(posts, delta, min_dup).orderBy(F.desc(F.col("within") / F.col("copies")), F.desc("copies"), "text").limit(k)
+    return found.select(F.substring("text", 1, 120).alias("text"), "copies", F.col("within_pct").alias("within_delta_pct"), F.round("median_gap", 1).alias("median_inter_arrival_seconds"))
+
+
+def _anchors(delta: int):
+    """The anchor of each second: the first of its window, which holds what is at most ``delta`` after it. One step a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, anchor = None, 0
+        last, anchor = None, 0
         for batch in batches:
-            found = []
-            for *own, sec in zip(*(batch.column(i).to_pylist() for i in range(keys)), batch.column("sec").to_pylist()):
-                if own != group or sec - anchor > delta:
-                    group, anchor = own, sec
-                found.append(anchor)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "anchor"])
+            n = batch.num_rows
+            if not n:
+                continue
+            key, stretch, sec = batch.column("k").to_numpy(zero_copy_only=False), batch.column("stretch").to_numpy(), batch.column("sec").to_numpy()
+            new = np.ones(n, bool)
+            new[1:] = (key[1:] != key[:-1]) | (stretch[1:] != stretch[:-1])
+            new[0] = last != (key[0], stretch[0])
+            found, starts = np.empty(n, np.int64), np.flatnonzero(new)
+            for start, end in zip([0, *starts[starts > 0]], [*starts[starts > 0], n]):
+                at = start
+                if not new[start]:
+                    at = start + int(np.searchsorted(sec[start:end], anchor + delta, "right"))
+                    found[start:at] = anchor
+                while at < end:
+                    anchor = sec[at]
+                    stop = at + int(np.searchsorted(sec[at:end], anchor + delta, "right"))
+                    found[at:stop] = anchor
+                    at = stop
+            last = (key[-1], stretch[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "anchor"])
 
     return run
 
 
-def anchored(posts: DataFrame, delta: int = 60, min_dup: int = 5) -> DataFrame:
-    """``text``, ``sec``, ``c`` and ``anchor`` of duplicated texts. A window starts with the first copy after the one before.
+def _anchored(rows: DataFrame, delta: int) -> DataFrame:
+    """``k``, ``sec``, ``c`` and ``anchor`` of the seconds of each key ``k``. A window starts with the first copy after the one before.
 
     A copy more than ``delta`` after the last starts a window in any case, so the stretches between such gaps are folded
     apart from each other, and one text can be many tasks' work.
     """
-    at = Window.partitionBy("text").orderBy("sec")
+    at = Window.partitionBy("k").orderBy("sec")
     gap = F.col("sec") - F.lag("sec").over(at)
-    rows = text_seconds(posts, min_dup).withColumn("stretch", F.max(F.when(gap.isNull() | (gap > delta), F.col("sec"))).over(at))
-    rows = rows.select("text", "stretch", "sec", "c").repartition("text", "stretch").sortWithinPartitions("text", "stretch", "sec")
-    return rows.mapInArrow(_anchors(delta, 2), "text string, stretch long, sec long, c long, anchor long").drop("stretch")
+    rows = rows.withColumn("stretch", F.max(F.when(gap.isNull() | (gap > delta), F.col("sec"))).over(at))
+    rows = rows.select("k", "stretch", "sec", "c").repartition("k", "stretch").sortWithinPartitions("k", "stretch", "sec")
+    return rows.mapInArrow(_anchors(delta), "k binary, stretch long, sec long, c long, anchor long").drop("stretch")
+
+
+def _copies(posts: DataFrame, min_dup: int) -> tuple[DataFrame, DataFrame]:
+    """The duplicated texts (``k``, ``text``, ``n``), and their copies by second (``k``, ``sec``, ``c``)."""
+    texts = cut(dup_texts(posts, min_dup).withColumn("k", text_key("text")))
+    rows = posts.filter("text <> ''").groupBy(text_key("text").alias("k"), seconds("ts").alias("sec")).agg(F.count(F.lit(1)).alias("c"))
+    rows = lookup_join(rows, texts.select("k", "n", F.lit(True).alias("_dup")), ["k"], "n", "sec")
+    return texts, rows.filter("_dup").drop("_dup")
 
 
 def anchored_windows(posts: DataFrame, delta: int = 60, min_dup: int = 5) -> DataFrame:
     """``text``, ``anchor`` and the number of copies of each window."""
-    return anchored(posts, delta, min_dup).groupBy("text", "anchor").agg(F.sum("c").alias("n"))
+    texts, rows = _copies(posts, min_dup)
+    found = _anchored(rows, delta).groupBy("k", "anchor").agg(F.sum("c").alias("n"))
+    return lookup_join(found, texts.select("k", "n", "text"), ["k"], "n", "anchor").select("text", "anchor", "n")
 
 
 def burst_sizes(posts: DataFrame, delta: int = 60, min_dup: int = 5) -> DataFrame:
     """For each day that starts a window of two or more copies: the largest one, and how many have three or more."""
     day = date_of("anchor").alias("day")
-    found = anchored_windows(posts, delta, min_dup).filter("n >= 2")
+    found = _anchored(_copies(posts, min_dup)[1], delta).groupBy("k", "anchor").agg(F.sum("c").alias("n")).filter("n >= 2")
     return found.groupBy(day).agg(F.max("n").alias("max_burst"), F.count_if(F.col("n") >= 3).alias("n_bursts_ge3"))
 
 
-def post_windows(posts: DataFrame, delta: int = 60, min_dup: int = 5) -> DataFrame:
-    """The different authors of each anchored window: ``text``, ``anchor``, ``author``."""
-    windows = anchored(posts, delta, min_dup).select("text", "sec", "anchor")
-    rows = posts.filter("author IS NOT NULL AND text <> ''").select("text", seconds("ts").alias("sec"), "author").distinct()
-    return rows.join(windows, ["text", "sec"]).select("text", "anchor", "author").distinct()
+def post_windows(posts: DataFrame, delta: int = 60, min_dup: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The duplicated texts (``k``, ``text``, ``n``), and the different authors of each anchored window (``k``, ``anchor``, ``author``)."""
+    texts, rows = _copies(posts, min_dup)
+    windows = _anchored(rows, delta).select("k", "sec", "anchor")
+    posted = posts.filter("author IS NOT NULL AND text <> ''").groupBy(text_key("text").alias("k"), seconds("ts").alias("sec"), "author").agg(F.count(F.lit(1)).alias("c"))
+    posted = lookup_join(posted, texts.select("k", "n", F.lit(True).alias("_dup")), ["k"], "n", "author").filter("_dup")
+    return texts, posted.join(windows, ["k", "sec"]).groupBy("k", "anchor", "author").agg(F.sum("c").alias("c"))

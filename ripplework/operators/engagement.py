@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ripplework.operators.coordination import dup_texts
 from ripplework.operators.profile import pct
+from ripplework.operators.quantiles import percentiles
 
 
 def _ratio(where: Column | None = None) -> Column:
@@ -20,12 +20,17 @@ def _ratio(where: Column | None = None) -> Column:
 def quality(posts: DataFrame, min_reach: int = 1, min_dup: int = 5) -> DataFrame:
     """One row on posts of at least ``min_reach``: reactions to reach overall, of duplicated and of other texts, median and 90th percentile of
     reach, and how many posts beyond the latter have no reaction."""
-    marked = posts.join(dup_texts(posts, min_dup).select("text", F.lit(True).alias("_dup")), "text", "left").filter(F.col("reach") >= min_reach)
-    dup = F.coalesce("_dup", F.lit(False))
-    figures = marked.agg(_ratio().alias("organic_per_reach_overall"), _ratio(dup).alias("organic_per_reach_duplicated"), _ratio(~dup).alias("organic_per_reach_unique"))
-    far = high_reach(posts, min_reach).agg(F.count_if(F.col("organic") == 0).alias("n_high_reach_zero_organic"))
-    bounds = posts.filter(F.col("reach") >= min_reach).agg(F.coalesce(F.round(F.median("reach"), 1), F.lit(0.0)).alias("median_reach"), F.coalesce(F.round(F.percentile("reach", 0.9), 1), F.lit(0.0)).alias("high_reach_threshold_p90"))
-    return figures.join(F.broadcast(bounds)).join(F.broadcast(far))
+    seen = F.col("reach") >= min_reach
+    texts = posts.groupBy("text").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.when(seen, F.col(c))).alias(c) for c in ("organic", "reach")))
+    dup = (F.col("text") != "") & (F.col("n") >= min_dup)
+    figures = texts.agg(_ratio().alias("organic_per_reach_overall"), _ratio(dup).alias("organic_per_reach_duplicated"), _ratio(~dup).alias("organic_per_reach_unique"))
+    rows = posts.filter(seen)
+    bounds = percentiles(rows, {"_m": ("reach", 0.5), "_p90": ("reach", 0.9)})
+    far = rows.join(F.broadcast(bounds)).agg(
+        F.coalesce(F.round(F.max("_m"), 1), F.lit(0.0)).alias("median_reach"), F.coalesce(F.round(F.max("_p90"), 1), F.lit(0.0)).alias("high_reach_threshold_p90"),
+        F.count_if((F.col("reach") >= F.col("_p90")) & (F.col("organic") == 0)).alias("n_high_reach_zero_organic"),
+    )
+    return figures.join(F.broadcast(far))
 
 
 def by_engagement(posts: DataFrame, min_reach: int = 1) -> DataFrame:
@@ -36,7 +41,7 @@ def by_engagement(posts: DataFrame, min_reach: int = 1) -> DataFrame:
 def high_reach(posts: DataFrame, min_reach: int = 1) -> DataFrame:
     """Posts from the 90th percentile of reach (of those with ``min_reach``) on."""
     seen = posts.filter(F.col("reach") >= min_reach)
-    return seen.join(F.broadcast(seen.agg(F.percentile("reach", 0.9).alias("_p90")))).filter("reach >= _p90").drop("_p90")
+    return seen.join(F.broadcast(percentiles(seen, {"_p90": ("reach", 0.9)}))).filter("reach >= _p90").drop("_p90")
 
 
 def anomalies(posts: DataFrame, min_reach: int = 1, k: int = 15) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
+from ripplework.functions.text import text_key
 from ripplework.operators.coordination import post_windows
 from ripplework.operators.profile import accounts, pct
-from ripplework.plans.cluster import cut, release
+from ripplework.plans.cluster import cut, lookup_join, release
 
 
 def hash_order(c: str) -> Column:
@@ -46,54 +48,169 @@ def linked_groups(edges: DataFrame) -> DataFrame:
 
 
 class CoActivity:
-    """Accounts linked by each window of ``delta`` seconds in which both post a duplicated text.
+    """Accounts linked by each window of ``delta`` seconds in which both post a duplicated text; a link's weight is the number of such windows,
+    and links below ``min_edge_weight`` are left out.
 
-    The graph is kept as incidences of accounts and windows: a window of m accounts is m rows, not m (m - 1) / 2 pairs. ``min_shared`` leaves out
-    accounts that are in fewer windows with others.
+    Windows are kept as incidences with accounts: one of m accounts is m rows, not m (m - 1) / 2 pairs. Pairs are formed
+    only within windows of at most ``pair_window`` accounts. What larger windows link is found without pairs of accounts: accounts that are in
+    the same large windows form a class, and classes are held against each other, so every figure is exact whatever the size of a window.
     """
 
-    def __init__(self, posts: DataFrame, delta: int = 60, min_dup: int = 5, min_shared: int = 1):
-        self.posts = posts
-        rows = post_windows(posts, delta, min_dup)
-        sizes = rows.groupBy("text", "anchor").agg(F.count(F.lit(1)).alias("size"), F.min("author").alias("first")).filter("size > 1")
-        rows = rows.join(sizes, ["text", "anchor"]).withColumn("win", F.xxhash64("text", "anchor"))
-        if min_shared > 1:
-            rows = rows.join(rows.groupBy("author").agg(F.count(F.lit(1)).alias("_w")).filter(F.col("_w") >= min_shared).select("author"), "author")
-        self.rows = cut(rows.select("author", "win", "text", "size", "first"))
+    def __init__(self, posts: DataFrame, delta: int = 60, min_dup: int = 5, min_edge_weight: int = 1, pair_window: int = 500):
+        self.posts, self.least = posts, min_edge_weight
+        self.texts, rows = post_windows(posts, delta, min_dup)
+        rows = rows.withColumn("win", F.xxhash64("k", "anchor"))
+        sizes = rows.groupBy("win").agg(F.count(F.lit(1)).alias("size"), F.min("author").alias("first")).filter("size > 1")
+        self.rows = cut(rows.join(sizes, "win").select("author", "win", "k", "size", "first"))
+        self.large = self.rows.filter(F.col("size") > pair_window)
+        self.small = self.rows.filter(F.col("size") <= pair_window)
+        self._pairs = self._classes = None
 
     def account_links(self) -> DataFrame:
-        """For each account: its windows and the weight of its links (accounts met, counted in every window)."""
+        """For each account: its windows and the weight of its links (accounts met, counted in every window), before any link is left out."""
         return self.rows.groupBy("author").agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.col("size") - 1).alias("link_weight"))
 
-    def components(self) -> DataFrame:
-        """``author`` and ``component`` of each account in the graph."""
-        star = self.rows.filter("author <> first").select(F.col("first").alias("src"), F.col("author").alias("dst")).distinct()
-        return linked_groups(star).select(F.col("node").alias("author"), F.col("label").alias("component"))
+    def edges(self) -> DataFrame:
+        """``src`` < ``dst`` and ``weight`` of the accounts that share a window of at most ``pair_window`` accounts. The weight counts larger windows too,
+        as does ``large``."""
+        if self._pairs is None:
+            a, b = (self.small.select("win", F.col("author").alias(end)) for end in ("src", "dst"))
+            pairs = a.join(b, "win").filter("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+            wins = cut(self.large.groupBy("author").agg(F.collect_set("win").alias("w")))
+            for end in ("src", "dst"):
+                pairs = pairs.join(wins.select(F.col("author").alias(end), F.col("w").alias(f"_{end}")), end, "left")
+            pairs = pairs.withColumn("large", F.coalesce(F.size(F.array_intersect("_src", "_dst")), F.lit(0)).cast("long"))
+            self._pairs = cut(pairs.select("src", "dst", (F.col("weight") + F.col("large")).alias("weight"), "large").filter(F.col("weight") >= self.least))
+        return self._pairs
+
+    def _class_links(self) -> tuple[DataFrame, DataFrame]:
+        """``author`` and ``class`` of the accounts in at least ``min_edge_weight`` large windows, and the pairs of classes (a class with itself too)
+        that share so many."""
+        if self._classes is None:
+            sets = self.large.groupBy("author").agg(F.sort_array(F.collect_set("win")).alias("w")).filter(F.size("w") >= self.least)
+            classes = cut(sets.select("author", F.xxhash64("w").alias("class"), "w"))
+            inside = classes.groupBy("class").agg(F.first("w").alias("w")).select("class", F.explode("w").alias("win"))
+            met = inside.select(F.col("class").alias("a"), "win").join(inside.select(F.col("class").alias("b"), "win"), "win").filter("a <= b")
+            met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= self.least)
+            self._classes = classes.select("author", "class"), cut(met.select("a", "b"))
+        return self._classes
+
+    def _heads(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The members of the classes, each class' ``size`` and least account ``first``, and links between the latter for classes that share
+        enough windows."""
+        members, met = self._class_links()
+        heads = members.groupBy("class").agg(F.count(F.lit(1)).alias("size"), F.min("author").alias("first"))
+        a, b = (heads.select(F.col("class").alias(c), F.col("first").alias(end)) for c, end in (("a", "src"), ("b", "dst")))
+        return members, heads, met.filter("a < b").join(a, "a").join(b, "b").select("src", "dst")
+
+    def _spanning(self) -> DataFrame:
+        """Links between accounts that join what all links join: in two steps from a window's or class's least account to the least of each of its
+        parts, and on to the part's accounts, so that no account is an end of more than the root of their number."""
+        if self.least == 1:
+            rows, more = self.rows.select("author", F.col("win").alias("g"), "size", "first"), None
+        else:
+            members, heads, between = self._heads()
+            rows = members.join(heads, "class").select("author", F.col("class").alias("g"), "size", "first")
+            more = self.edges().select("src", "dst").unionByName(between)
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("author"), F.ceil(F.sqrt("size"))))
+        parts = rows.groupBy("g", "part", "first").agg(F.min("author").alias("sub"))
+        links = rows.join(parts.drop("first"), ["g", "part"]).select(F.col("sub").alias("src"), F.col("author").alias("dst"))
+        links = links.unionByName(parts.select(F.col("first").alias("src"), F.col("sub").alias("dst")))
+        return (links if more is None else links.unionByName(more)).filter("src <> dst").distinct()
 
-    def communities(self, rounds: int = 6) -> DataFrame:
+    def components(self) -> DataFrame:
+        """``author`` and ``component`` (its least account) of each account with a link."""
+        groups = linked_groups(self._spanning())
+        least = cut(groups.groupBy("label").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")))
+        return lookup_join(groups, least, ["label"], "n", "node").select(F.col("node").alias("author"), "component")
+
+    def _incidences(self) -> DataFrame:
+        """``author``, ``win``, ``size`` and ``weight`` of the groups of linked accounts that communities come from: the windows, or with a higher
+        ``min_edge_weight`` the links left, the classes, and a link between classes that share enough windows."""
+        if self.least == 1:
+            return self.rows.select("author", "win", "size", F.lit(1).cast("long").alias("weight"))
+        members, heads, between = self._heads()
+        links = self.edges().select("src", "dst", "weight").unionByName(between.withColumn("weight", F.lit(self.least).cast("long")))
+        rows = links.select(F.explode(F.array("src", "dst")).alias("author"), F.xxhash64("src", "dst").alias("win"), F.lit(2).cast("long").alias("size"), "weight")
+        return rows.unionByName(members.join(heads.filter("size > 1"), "class").select("author", F.col("class").alias("win"), "size", F.lit(self.least).cast("long").alias("weight")))
+
+    def communities(self, settled: float = 0.001, most: int = 50) -> DataFrame:
         """``author`` and ``community``, by label propagation: each window takes the label most frequent among its accounts, each account
-        that most frequent among its windows, larger windows counting less. Communities lie within components."""
-        labels = self.rows.select("author").distinct().withColumn("label", F.col("author"))
-        for _ in range(rounds):
-            votes = self.rows.join(labels, "author").groupBy("win", "label").agg(F.count(F.lit(1)).alias("v"))
+        that most frequent among its windows (its own label goes first among equals), larger windows counting less. In each round one half of the
+        accounts, by hash, moves, so that labels don't swap for ever. Ends when at most ``settled`` of all accounts moved in both
+        halves together, or after ``most`` rounds. Communities lie within components."""
+        rows = cut(self._incidences())
+        labels = cut(rows.select("author").distinct().withColumn("label", F.col("author")).withColumn("moved", F.lit(True)))
+        for turn in range(most):
+            votes = rows.join(labels.select("author", "label"), "author").groupBy("win", "label").agg(F.count(F.lit(1)).alias("v"))
             wins = votes.groupBy("win").agg(F.min(F.struct((-F.col("v")).alias("a"), F.xxhash64("label").alias("h"), "label"))["label"].alias("label"))
-            votes = self.rows.join(wins, "win").groupBy("author", "label").agg(F.round(F.sum(1 / F.col("size")), 9).alias("v"))
-            labels = cut(votes.groupBy("author").agg(F.min(F.struct((-F.col("v")).alias("a"), F.xxhash64("label").alias("h"), "label"))["label"].alias("label")))
-        return labels.withColumnRenamed("label", "community")
+            votes = rows.join(wins, "win").groupBy("author", "label").agg(F.round(F.sum(F.col("weight") / F.col("size")), 9).alias("v"))
+            best = votes.join(labels.select("author", F.col("label").alias("_own")), "author").groupBy("author").agg(
+                F.min(F.struct((-F.col("v")).alias("a"), (F.col("label") != F.col("_own")).alias("o"), F.xxhash64("label").alias("h"), "label"))["label"].alias("best")
+            )
+            mine = F.pmod(F.xxhash64("author", F.lit(1)), F.lit(2)) == turn % 2
+            found = labels.join(best, "author", "left").withColumn("best", F.coalesce("best", "label"))
+            found = found.select("author", F.when(mine, F.col("best")).otherwise(F.col("label")).alias("label"), F.when(mine, F.col("best") != F.col("label")).otherwise(F.col("moved")).alias("moved"))
+            found = cut(found)
+            release(labels)
+            labels = found
+            n, moved = labels.agg(F.count(F.lit(1)), F.count_if("moved")).first()
+            if moved <= settled * n and turn:
+                break
+        return labels.select("author", F.col("label").alias("community"))
+
+    def modularity(self, communities: DataFrame) -> DataFrame:
+        """One row: the ``modularity`` of the communities (``author``, ``community``), over the windows' links or those left by ``min_edge_weight``."""
+        rows = self._incidences().join(communities, "author")
+        pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
+        inner = rows.groupBy("win", "community", "weight").agg(F.count(F.lit(1)).alias("n")).groupBy("community").agg(F.sum(F.col("weight") * pairs("n")).alias("inner"))
+        degree = rows.groupBy("community").agg(F.sum(F.col("weight") * (F.col("size") - 1)).alias("degree"))
+        whole = degree.agg(F.sum("degree").alias("_all"))
+        both = degree.join(inner, "community").join(F.broadcast(whole))
+        return both.agg(F.round(F.coalesce(F.sum(2 * F.col("inner") / F.col("_all") - F.pow(F.col("degree") / F.col("_all"), 2)), F.lit(0.0)), 6).alias("modularity"))
+
+    def _count_edges(self, groups: DataFrame) -> DataFrame:
+        """``g`` and ``n_edges``: the links between accounts of one group (``author``, ``g``)."""
+        a, b = (groups.select(F.col("author").alias(end), F.col("g").alias(g)) for end, g in (("src", "g"), ("dst", "g2")))
+        pairs = self.edges().join(a, "src").join(b, "dst").filter("g = g2").groupBy("g").agg(F.count_if(F.col("large") < self.least).alias("n"))
+        members, met = self._class_links()
+        cells = members.join(groups, "author").groupBy("class", "g").agg(F.count(F.lit(1)).alias("m"))
+        both = met.join(cells.select(F.col("class").alias("a"), "g", F.col("m").alias("ma")), "a").join(cells.select(F.col("class").alias("b"), F.col("g").alias("g2"), F.col("m").alias("mb")), "b").filter("g = g2")
+        between = F.when(F.col("a") == F.col("b"), F.col("ma") * (F.col("ma") - 1) / 2).otherwise(F.col("ma") * F.col("mb")).cast("long")
+        return pairs.unionByName(both.groupBy("g").agg(F.sum(between).alias("n"))).groupBy("g").agg(F.sum("n").alias("n_edges"))
 
     def summary(self) -> DataFrame:
-        """One row: nodes, total weight of the links, components and the largest one."""
-        sizes = self.components().groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-        wins = self.rows.groupBy("win").agg(F.count(F.lit(1)).alias("m"))
-        weight = wins.agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0)).cast("long").alias("link_weight"))
-        return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_nodes"), F.count(F.lit(1)).alias("n_components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_component")).join(F.broadcast(weight))
-
-    def clusters(self, k: int = 10) -> DataFrame:
-        """The ``k`` largest communities of at least two accounts: size, verified and single-post shares, most shared text."""
-        found = self.communities()
-        table = found.join(accounts(self.posts), "author").groupBy("community").agg(
-            F.count(F.lit(1)).alias("size"), pct(F.count_if("any_verified"), F.count(F.lit(1))).alias("verified_share_pct"), pct(F.count_if(F.col("n_msgs") == 1), F.count(F.lit(1))).alias("single_message_share_pct"),
-        )
-        shared = self.rows.join(found, "author").groupBy("community", "text").agg(F.count(F.lit(1)).alias("n"))
-        shared = shared.groupBy("community").agg(F.min(F.struct((-F.col("n")).alias("a"), "text"))["text"].alias("dominant_text"))
-        return table.filter("size > 1").orderBy(F.desc("size"), "community").limit(k).join(shared, "community").withColumn("dominant_text", F.substring("dominant_text", 1, 120))
+        """One row: nodes, links, components and the largest one. The total weight of the windows' links counts those left out too."""
+        parts = self.components()
+        sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        weight = self.rows.groupBy("win").agg(F.count(F.lit(1)).alias("m")).agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0)).cast("long").alias("link_weight"))
+        links = self._count_edges(parts.select("author", F.lit(0).alias("g"))).agg(F.coalesce(F.sum("n_edges"), F.lit(0)).alias("n_edges"))
+        found = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_nodes"), F.count(F.lit(1)).alias("n_components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_component"))
+        return found.join(F.broadcast(weight)).join(F.broadcast(links))
+
+    def community_summary(self, communities: DataFrame | None = None) -> DataFrame:
+        """One row: communities of at least two accounts, the accounts in them, and the modularity of all."""
+        found = cut(self.communities()) if communities is None else communities
+        sizes = found.groupBy("community").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        figures = sizes.agg(F.count(F.lit(1)).alias("n_communities"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_accounts_in_clusters"))
+        return figures.join(F.broadcast(self.modularity(found)))
+
+    def clusters(self, k: int = 10, samples: int = 8, texts: int = 3, communities: DataFrame | None = None) -> DataFrame:
+        """The ``k`` largest communities of at least two accounts: size, links inside, verified and single-post shares, the duplicated texts their
+        accounts post most, with the posts of each, and the first accounts."""
+        found = self.communities() if communities is None else communities
+        table = cut(found.join(accounts(self.posts).select("author", "n_msgs", "any_verified"), "author"))
+        n = F.count(F.lit(1))
+        sized = table.groupBy("community").agg(n.alias("size"), pct(F.count_if("any_verified"), n).alias("verified_share_pct"), pct(F.count_if(F.col("n_msgs") == 1), n).alias("single_message_share_pct"))
+        sized = cut(sized.filter("size > 1").orderBy(F.desc("size"), "community").limit(k))
+        members = cut(table.select("author", "community").join(F.broadcast(sized.select("community")), "community"))
+        inner = self._count_edges(members.select("author", F.col("community").alias("g"))).select(F.col("g").alias("community"), F.col("n_edges").alias("internal_edges"))
+        posted = self.posts.filter("author IS NOT NULL AND text <> ''").groupBy("author", text_key("text").alias("k")).agg(n.alias("c"))
+        copied = lookup_join(posted.join(members, "author"), self.texts.select("k", F.col("n").alias("_n"), F.lit(True).alias("_dup")), ["k"], "_n", "author").filter("_dup")
+        copied = copied.groupBy("community", "k").agg(F.sum("c").alias("count")).join(self.texts.select("k", F.substring("text", 1, 120).alias("text")), "k")
+        rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("count"), "text"))
+        listed = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("a"), "text")))
+        copied = copied.withColumn("_r", rank).filter(F.col("_r") <= texts).groupBy("community").agg(F.transform(listed, lambda x: F.struct((-x["a"]).alias("count"), x["text"].alias("text"))).alias("dominant_texts"))
+        first = members.withColumn("_r", F.row_number().over(Window.partitionBy("community").orderBy("author"))).filter(F.col("_r") <= samples)
+        first = first.groupBy("community").agg(F.sort_array(F.collect_list("author")).alias("sample_accounts"))
+        return sized.join(inner, "community", "left").join(copied, "community", "left").join(first, "community").fillna(0, ["internal_edges"])

@@ -1,21 +1,26 @@
 """Near-duplicate texts by the Jaccard similarity of their character n-grams.
 
-Two texts similar to t share some of their rarest grams: of a text with n grams, the first n - ceil(t n) + SHARED in the order of rarity
-hold SHARED of the common ones (or all, if there are fewer). Pairs come from that prefix, are thinned by length and by the grams they
-share there, and checked on the whole sets. Texts that differ only in white space
-share a set and meet once.
+Two texts similar to t share one of their rarest grams: of a text with n grams, the first n - ceil(t n) + 1 in the order of rarity
+hold one of the common ones. Pairs come from that prefix and are checked on the whole sets, after those have gone whose sizes or maps of
+256 bits differ too much: a bit is set if an odd number of the text's grams fall on it, so two maps differ in no more bits than there are grams
+in one of the texts only. Nothing is lost by this.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from ripplework.operators.graph import hash_order, linked_groups
-from ripplework.plans.cluster import cut
+from ripplework.operators.graph import linked_groups
+from ripplework.plans.cluster import cut, lookup_join
 
-
-SHARED = 4
+#: 64-bit words of a text's map.
+WORDS = 4
+BITMAP = [f"b{i}" for i in range(WORDS)]
+#: Texts of one gram that meet in one task.
+BLOCK = 2_000
+PAIRS_A_ROW = 64
 
 
 def char_ngrams(text: Column | str, n: int = 3) -> Column:
@@ -31,12 +36,22 @@ def _sets(texts: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """``id``, ``size`` and each of the rarest grams of a text that a similar one must share."""
+    """``id``, ``size``, the words of the bitmap, and each of the rarest grams of a text, of which a similar one has at least one among its own."""
     each = sets.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    rarity = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(rarity, "gram").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("o"))
-    first = F.slice("o", 1, (F.col("size") - F.ceil(threshold * F.col("size")) + SHARED).cast("int"))
-    return ranked.select("id", "size", F.explode(first).alias("p")).select("id", "size", "p.gram")
+    rarity = cut(each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).withColumn("df", F.col("n")))
+    word = F.expr("shiftleft(1L, cast(pmod(gram, 64) AS int))")
+    maps = [F.coalesce(F.bit_xor(F.when(F.pmod(F.shiftright("gram", 6), F.lit(WORDS)) == i, word)), F.lit(0).cast("long")).alias(f"b{i}") for i in range(WORDS)]
+    ranked = lookup_join(each, rarity, ["gram"], "n", "id").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("o"), *maps)
+    first = F.slice("o", 1, (F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1).cast("int"))
+    return ranked.select("id", "size", *BITMAP, F.explode(first).alias("p")).select("id", "size", *BITMAP, "p.gram")
+
+
+def _close(a: str, b: str, threshold: float) -> Column:
+    """Whether two rows can be similar: by their sizes, and by the bits in which their maps differ, which are no more than the grams that
+    one has and the other hasn't."""
+    size = {x: F.col(f"{x}.size") for x in (a, b)}
+    differ = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in BITMAP), F.lit(0))
+    return (F.least(*size.values()) >= threshold * F.greatest(*size.values()) - 1e-9) & (differ <= (1 - threshold) / (1 + threshold) * (size[a] + size[b]) + 1e-6)
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -47,41 +62,99 @@ def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _meeting(prefix: DataFrame, threshold: float, apart: str) -> DataFrame:
-    """Pairs that share enough prefix grams, are of like length, and differ in the column ``apart``."""
-    a, b = prefix.alias("a"), prefix.alias("b")
-    close = (F.col("a.id") < F.col("b.id")) & (F.col(f"a.{apart}") != F.col(f"b.{apart}")) & (F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size"))
-    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & close).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.least("a.size", "b.size").alias("size"))
-    met = met.groupBy("src", "dst", "size").agg(F.count(F.lit(1)).alias("n"))
-    return met.filter(F.col("n") >= F.least(F.lit(SHARED), F.ceil(threshold * F.col("size")))).select("src", "dst")
+    """Pairs that share a prefix gram, can be similar, and differ in the column ``apart``. Grams whose texts are alike in ``apart`` are left out first.
+
+    The texts of a gram meet in blocks: of every two parts, and within each, in a task of its own, so a gram of a million texts is
+    many tasks' work.
+    """
+    grams = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min(apart) != F.max(apart)).alias("_split")).filter("_split")
+    grams = cut(grams.withColumn("_parts", F.ceil(F.col("n") / BLOCK)))
+    rows = lookup_join(prefix, grams.select("gram", "n", "_parts"), ["gram"], "n", "id").filter("_parts IS NOT NULL")
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("id"), "_parts"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), lambda q: F.struct(F.least(q, "_part").alias("i"), F.greatest(q, "_part").alias("j")))
+    rows = rows.select("id", "size", *BITMAP, "gram", apart if apart != "id" else F.col("id").alias("_id"), "_part", F.explode(cells).alias("_cell"))
+    side = apart if apart != "id" else "_id"
+    a, b = rows.alias("a"), rows.alias("b")
+    block = (F.col("a._part") == F.col("a._cell.i")) & (F.col("b._part") == F.col("b._cell.j")) & ((F.col("a._part") != F.col("b._part")) | (F.col("a.id") < F.col("b.id")))
+    on = (F.col("a.gram") == F.col("b.gram")) & (F.col("a._cell") == F.col("b._cell")) & block & (F.col(f"a.{side}") != F.col(f"b.{side}")) & _close("a", "b", threshold)
+    return a.join(b, on).select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst"))
 
 
 def similar_pairs(texts: DataFrame, id_col: str, text: str, threshold: float = 0.8, n: int = 3) -> DataFrame:
     """``src`` < ``dst`` and ``sim`` of the pairs of at least ``threshold``. NULL and empty texts have none."""
     sets = _sets(texts, id_col, text, n)
-    return _checked(_meeting(_prefixes(sets, threshold), threshold, "id"), sets, threshold)
+    return _checked(_meeting(cut(_prefixes(sets, threshold)), threshold, "id"), sets, threshold)
 
 
 def similar_groups(texts: DataFrame, id_col: str, text: str, threshold: float = 0.8, n: int = 3) -> DataFrame:
     """``node`` and ``label`` of every text that is linked to another one.
 
-    First each text is held against the one of least hash among those that share a gram of its prefix, which links most of a large family in one
-    row a text; then only pairs of different groups are.
+    What is left of different groups meets pair by pair once that is no more than ``PAIRS_A_ROW`` pairs for each text and gram of its prefix. Before,
+    in rounds with different hashes, each text is held against one text of another group for each such gram, that of least hash, and groups that this
+    links are joined; so a large family costs one row a text and gram. Rounds end when one joins nothing.
     """
     sets = _sets(texts, id_col, text, n)
     prefix = cut(_prefixes(sets, threshold))
-    pivots = prefix.groupBy("gram").agg(F.min(F.struct(hash_order("id").alias("h"), "id"))["id"].alias("src"))
-    star = prefix.join(pivots, "gram").filter("id <> src").select(F.least("src", "id").alias("src"), F.greatest("src", "id").alias("dst"))
-    near = cut(_checked(star, sets, threshold))
-    groups = linked_groups(near).select(F.col("node").alias("id"), "label")
-    apart = prefix.join(groups, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    return linked_groups(near.unionByName(_checked(_meeting(apart, threshold, "label"), sets, threshold)))
-
-
-def near_dup_groups(dup: DataFrame, threshold: float = 0.8, n: int = 3) -> DataFrame:
-    """Groups of at least two linked texts of ``dup`` (``text``, ``n`` copies): variants, copies, and the most frequent variant."""
+    total, turn, joined = prefix.count(), 0, True
+    labels = cut(sets.select(F.col("id").alias("node"), F.col("id").alias("label")))
+    rows = prefix.withColumn("label", F.col("id"))
+    while joined and _left(rows) > PAIRS_A_ROW * total:
+        found = _checked(_stars(rows, threshold, turn), sets, threshold)
+        labels, joined = _joined(labels, found)
+        rows, turn = cut(prefix.join(labels.withColumnRenamed("node", "id"), "id")), turn + 1
+    labels, _ = _joined(labels, _checked(_meeting(rows, threshold, "label"), sets, threshold))
+    sizes = cut(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("_in")).filter("n > 1"))
+    return lookup_join(labels, sizes, ["label"], "n", "node").filter("_in").select("node", "label")
+
+
+def _left(rows: DataFrame) -> int:
+    """Pairs of texts that share a gram and differ in label."""
+    sizes = rows.groupBy("gram", "label").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    left = sizes.groupBy("gram").agg(((F.pow(F.sum("m"), 2) - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"))
+    return left.agg(F.sum("p")).first()[0] or 0
+
+
+def _joined(labels: DataFrame, found: DataFrame) -> tuple[DataFrame, bool]:
+    """``labels`` after the groups that links join have become one, and whether there was one to join."""
+    moved = found.select("src", "dst")
+    for end in ("src", "dst"):
+        moved = moved.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
+    groups = cut(linked_groups(moved.filter("src <> dst").distinct()))
+    if groups.isEmpty():
+        return labels, False
+    sizes = cut(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(groups.select(F.col("node").alias("label"), F.col("label").alias("_to")), "label"))
+    after = lookup_join(labels, sizes, ["label"], "n", "node")
+    return cut(after.select("node", F.coalesce("_to", "label").alias("label"))), True
+
+
+def _stars(rows: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """Pairs of a text and, for each gram of its prefix, the text of least hash among those of other groups."""
+    order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "label", "size", *BITMAP)
+    grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("p"), (F.min("label") != F.max("label")).alias("_split")).filter("_split")
+    met = lookup_join(rows, cut(grams.drop("_split")), ["gram"], "n", "id").filter("p IS NOT NULL AND p.label <> label")
+    met = met.select(F.struct("id", "size", *BITMAP).alias("t"), "p").filter(_close("t", "p", threshold))
+    return met.select(F.least("t.id", "p.id").alias("src"), F.greatest("t.id", "p.id").alias("dst"))
+
+
+def near_dup_groups(dup: DataFrame, threshold: float = 0.8, n: int = 3, examples: int = 3) -> DataFrame:
+    """Groups of at least two linked texts of ``dup`` (``text``, ``n`` copies): variants, copies, the most frequent variant, and the next ones
+    as ``variant_examples``; of equally frequent ones the lesser text goes first."""
     texts = cut(dup.select(F.xxhash64("text").alias("id"), "text", F.col("n").alias("copies")))
-    groups = similar_groups(texts, "id", "text", threshold, n)
-    found = texts.join(groups, texts.id == groups.node).groupBy("label").agg(
-        F.count(F.lit(1)).alias("n_variants"), F.sum("copies").alias("total_count"), F.min(F.struct((-F.col("copies")).alias("a"), "text"))["text"].alias("t")
-    )
-    return found.select("n_variants", "total_count", F.substring("t", 1, 160).alias("representative"))
+    groups = cut(similar_groups(texts, "id", "text", threshold, n))
+    sizes = cut(groups.groupBy("label").agg(F.count(F.lit(1)).alias("n_variants")))
+    found = texts.join(groups.withColumnRenamed("node", "id"), "id")
+    totals = found.groupBy("label").agg(F.sum("copies").alias("total_count"))
+    # the first of each hash share before the first of all, so that no group is sorted whole in one task
+    order = (F.desc("copies"), "text")
+    few = found.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(256)))
+    for by in (("label", "_s"), ("label",)):
+        few = few.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= examples + 1)
+    first = few.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "text"))), lambda x: x["text"]).alias("t"))
+    found = sizes.join(totals, "label").join(first, "label")
+    shown = F.transform(F.slice("t", 2, examples), lambda x: F.substring(x, 1, 120))
+    return found.select("n_variants", "total_count", F.substring(F.get("t", F.lit(0)), 1, 160).alias("representative"), shown.alias("variant_examples"))
+
+
+def near_dup_totals(groups: DataFrame) -> DataFrame:
+    """One row on ``near_dup_groups``: how many there are, the texts in them, and their copies."""
+    return groups.agg(F.count(F.lit(1)).alias("n_near_dup_groups"), *(F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("n_variants", "n_texts_merged"), ("total_count", "messages_in_near_dup_groups"))))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplework.functions.text import text_key
 from ripplework.functions.time import micros
+from ripplework.operators.quantiles import percentiles
+from ripplework.plans.cluster import cut, lookup_join
 from ripplework.sources.posts import RETWEET
 
 
@@ -54,36 +57,40 @@ def activity_histogram(posts: DataFrame, cap: int = 50) -> DataFrame:
     return activity(posts).groupBy(F.least("n", F.lit(cap)).alias("n_posts")).agg(F.count(F.lit(1)).alias("n_authors"))
 
 
-def accounts(posts: DataFrame) -> DataFrame:
-    """One row for each author: posts, greatest figures, whether ever verified, follower ratio."""
+def accounts(posts: DataFrame, *more: Column) -> DataFrame:
+    """One row for each author: posts, greatest figures, whether ever verified, follower ratio, and ``more`` aggregates."""
     found = posts.filter("author IS NOT NULL").groupBy("author").agg(
         F.count(F.lit(1)).alias("n_msgs"), F.max("followers").alias("followers"), F.max("following").alias("following"),
-        F.max("lifetime_posts").alias("lifetime_posts"), F.bool_or("verified").alias("any_verified"),
+        F.max("lifetime_posts").alias("lifetime_posts"), F.bool_or("verified").alias("any_verified"), *more,
     )
     return found.withColumn("follower_ratio", F.col("followers") / (F.nullif("following", F.lit(0.0)) + 1))
 
 
-def low_footprint(posts: DataFrame) -> DataFrame:
-    """Authors of a single post with at most the lower quartile of lifetime posts and the median of followers over all authors."""
-    table = accounts(posts)
-    bounds = table.agg(F.percentile("lifetime_posts", 0.25).alias("_p"), F.median("followers").alias("_f"))
+def low_footprint(posts: DataFrame, *more: Column) -> DataFrame:
+    """Authors of a single post with at most the lower quartile of lifetime posts and the median of followers over all authors, and ``more``
+    aggregates of their post."""
+    table = accounts(posts, *more)
+    bounds = percentiles(table, {"_p": ("lifetime_posts", 0.25), "_f": ("followers", 0.5)})
     few = (F.col("n_msgs") == 1) & (F.col("lifetime_posts") <= F.col("_p")) & (F.col("followers") <= F.col("_f"))
-    return table.join(F.broadcast(bounds)).filter(few).select("author", "followers", "lifetime_posts")
+    return table.join(F.broadcast(bounds)).filter(few).drop("n_msgs", "following", "any_verified", "follower_ratio", "_p", "_f")
 
 
 def account_behaviour(posts: DataFrame, dup: DataFrame) -> DataFrame:
     """One row of figures on accounts; ``dup`` has the duplicated texts."""
-    table = accounts(posts)
-    figures = table.agg(
+    table = cut(accounts(posts))
+    bounds = percentiles(table, {"_p": ("lifetime_posts", 0.25), "_f": ("followers", 0.5), "_g": ("following", 0.5), "_l": ("lifetime_posts", 0.5)})
+    few = (F.col("n_msgs") == 1) & (F.col("lifetime_posts") <= F.col("_p")) & (F.col("followers") <= F.col("_f"))
+    figures = table.join(F.broadcast(bounds)).agg(
         F.count(F.lit(1)).alias("n_accounts"),
         pct(F.count_if(F.col("n_msgs") == 1), F.count(F.lit(1))).alias("single_message_share_pct"),
-        F.round(F.median("followers"), 1).alias("median_followers"), F.round(F.median("following"), 1).alias("median_following"), F.round(F.median("lifetime_posts"), 1).alias("median_posts"),
-        pct(F.count_if(F.col("following") > F.col("followers")), F.count(F.lit(1))).alias("following_over_followers_share_pct"),
+        *(F.round(F.max(b), 1).alias(f"median_{name}") for b, name in (("_f", "followers"), ("_g", "following"), ("_l", "posts"))),
+        pct(F.count_if(F.col("following") > F.col("followers")), F.count(F.lit(1))).alias("following_over_followers_share_pct"), F.count_if(few).alias("low_footprint_amplifiers"),
     )
-    low = low_footprint(posts).agg(F.count(F.lit(1)).alias("low_footprint_amplifiers"))
-    copied = posts.join(dup.select("text"), "text", "left_semi").groupBy("author").agg(F.count(F.lit(1)).alias("n"), F.count_if("verified").alias("v"))
+    keys = cut(dup.select(text_key("text").alias("k"), "n", F.lit(True).alias("_dup")))
+    rows = posts.groupBy(text_key("text").alias("k"), "author").agg(F.count(F.lit(1)).alias("c"), F.count_if("verified").alias("v"))
+    copied = lookup_join(rows, keys, ["k"], "n", "author").filter("_dup").groupBy("author").agg(F.sum("c").alias("n"), F.sum("v").alias("v"))
     copied = copied.agg(F.count(F.lit(1)).alias("n_accounts_posting_duplicated_text"), pct(F.sum("v"), F.sum("n")).alias("verified_share_among_duplicators_pct"))
-    return figures.join(F.broadcast(low)).join(F.broadcast(copied)).withColumn("low_footprint_amplifiers_pct", pct(F.col("low_footprint_amplifiers"), F.col("n_accounts")))
+    return figures.join(F.broadcast(copied)).withColumn("low_footprint_amplifiers_pct", pct(F.col("low_footprint_amplifiers"), F.col("n_accounts")))
 
 
 def sample(posts: DataFrame, contains: str | None = None, author: str | None = None, amplified: str | None = None, engagement: str | None = None,

@@ -55,7 +55,7 @@ def patient_zero(posts: DataFrame) -> DataFrame:
 def onsets(posts: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` most relayed handles with their first relay, earliest first."""
     found = posts.filter("repost_handle IS NOT NULL").groupBy("repost_handle").agg(F.count(F.lit(1)).alias("total"), F.min("ts").alias("first_relay"))
-    return found.orderBy(F.desc("total"), "repost_handle").limit(k)
+    return found.orderBy(F.desc("total"), "repost_handle").limit(k).orderBy("first_relay", "repost_handle")
 
 
 def velocity(posts: DataFrame) -> DataFrame:

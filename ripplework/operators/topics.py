@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ripplework.functions.text import TERM, text_key
 from ripplework.operators.profile import pct
-from ripplework.operators.timeseries import series
-from ripplework.plans.cluster import cut
+from ripplework.operators.timeseries import series, window
+from ripplework.plans.cluster import cut, lookup_join
 
 #: Stop words of the topic model.
 STOP_WORDS = """
@@ -29,9 +30,6 @@ c est s il elle ils elles on nous vous je tu son sa ses mon ma mes ton ta tes le
 comme tout tous toute toutes meme même aussi bien fait faire cela ça y d l m n t qu jai jaine rt via https http co t.co amp lol
 """.split()
 
-#: Fixed pattern: a term.
-TERM = "[a-zàâçéèêëîïôûùüÿñæœ]{3,}"
-
 
 def term_docfreq(posts: DataFrame, k: int = 40, stop: list[str] = TERM_STOP_WORDS) -> DataFrame:
     """The ``k`` terms in most posts. Equal texts are counted once and weighted."""
@@ -84,7 +82,8 @@ class Topics:
         """Every post with its cluster; posts without a text aren't there."""
         if self.texts is None:
             return self.posts.withColumn("cluster", F.lit(0)).limit(0)
-        return self.posts.join(self.texts.select("text", "cluster").distinct(), "text")
+        where = cut(self.texts.groupBy(text_key("text").alias("_k")).agg(F.min("cluster").alias("cluster"), F.sum("weight").alias("_n")))
+        return lookup_join(self.posts.withColumn("_k", text_key("text")), where, ["_k"], "_n", "row_id").filter("cluster IS NOT NULL").drop("_k")
 
     def terms(self, k: int = 12) -> DataFrame:
         """The ``k`` heaviest terms of each cluster's centre."""
@@ -114,9 +113,17 @@ class Topics:
         binned = series(self.assigned(), freq, keys=("cluster",))
         return binned.withColumn("of_peak", F.round(F.col("value") / F.max("value").over(Window.partitionBy("cluster")), 4))
 
+    def drift(self, freq: str = "D", k: int = 5, start: str | None = None, end: str | None = None) -> DataFrame:
+        """The course of the ``k`` largest clusters from ``start`` to ``end``, each bin as part of the cluster's greatest one in that time."""
+        rows = self.assigned()
+        largest = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster").limit(k)
+        binned = series(window(rows, start, end), freq, keys=("cluster",)).join(F.broadcast(largest.select("cluster")), "cluster")
+        return binned.withColumn("of_peak", F.round(F.col("value") / F.max("value").over(Window.partitionBy("cluster")), 4))
+
     def lead_lag(self, freq: str = "D") -> DataFrame:
         """The clusters in the order of their peaks."""
         peak = F.min(F.struct((-F.col("value")).alias("a"), "period"))
-        return series(self.assigned(), freq, keys=("cluster",)).groupBy("cluster").agg(peak.alias("p")).select("cluster", F.col("p.period").alias("peak_period"), (-F.col("p.a")).alias("peak_value"))
+        found = series(self.assigned(), freq, keys=("cluster",)).groupBy("cluster").agg(peak.alias("p"))
+        return found.select("cluster", F.col("p.period").alias("peak_period"), (-F.col("p.a")).alias("peak_value")).orderBy("peak_period", "cluster")
 
 

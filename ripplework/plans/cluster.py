@@ -53,13 +53,16 @@ def tasks_of(spark: SparkSession) -> int:
 def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, spread: str, share: float = 0.001) -> DataFrame:
     """Left-join ``rows`` with ``table`` (unique ``keys``; ``n`` is the number of rows of each key) without a hot task.
 
-    Keys that hold more than ``share`` of all counted rows are at most ``1 / share`` many, so these are broadcast whatever the
+    A table of at most ``1 / share`` keys is broadcast. Of a larger one, keys that hold more than ``share`` of all counted rows are at most ``1 / share`` many, so these are broadcast whatever the
     input's size. Their rows then take a salt from the hash of ``spread`` for the shuffled join, where they match nothing, so
-    no shuffle partition gets more of one key than ``share`` of the rows. ``table`` is read three times: pass a table that is
+    no shuffle partition gets more of one key than ``share`` of the rows. NULL keys match nothing. ``table`` is read three times: pass a table that is
     cheap to read. ``n`` isn't returned.
     """
     values = [c for c in table.columns if c not in (*keys, n)]
-    total = table.agg(F.sum(n)).first()[0] or 0
+    total, size = table.agg(F.coalesce(F.sum(n), F.lit(0)), F.count(F.lit(1))).first()
+    if size <= 1 / share:
+        found = rows.join(F.broadcast(table.select(*keys, F.struct(*values).alias("_found"))), keys, "left")
+        return found.select(*rows.columns, *(F.col(f"_found.{c}").alias(c) for c in values))
     hot = table.filter(F.col(n) > total * share).select(*keys, F.struct(*values).alias("_hot"))
     cold = table.filter(F.col(n) <= total * share).select(*keys, F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_cold"))
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn(

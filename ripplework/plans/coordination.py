@@ -8,10 +8,11 @@ from ripplework.operators import audit
 from ripplework.operators import coordination as co
 from ripplework.operators import profile as pro
 from ripplework.operators.graph import CoActivity
-from ripplework.operators.neardup import char_ngrams, near_dup_groups, similar_pairs
+from ripplework.operators.neardup import char_ngrams, near_dup_groups, near_dup_totals, similar_pairs
 from ripplework.operators.segments import DIMENSIONS, breakdown, gaps
 from ripplework.operators.topics import Topics
 from ripplework.plans.base_sql import ACCOUNTS, DUP, sql
+from ripplework.plans.profile import SQL as PROFILE_SQL
 from ripplework.sources.posts import RETWEET, read_posts
 
 
@@ -20,8 +21,8 @@ def _q(f):
 
 
 def _retweets_of_dup(posts):
-    rows = posts.join(co.dup_texts(posts).select("text"), "text", "left_semi")
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), pro.pct(F.count_if(F.upper("engagement") == RETWEET), F.count(F.lit(1))).alias("share_pct"))
+    texts = posts.filter("text <> ''").groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.upper("engagement") == RETWEET).alias("rt")).filter("n >= 5")
+    return texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), pro.pct(F.sum("rt"), F.sum("n")).alias("share_pct"))
 
 
 def _text_ngrams(posts):
@@ -44,7 +45,7 @@ def _reports(spark, sf):
     values = counted.select(F.explode(F.array(*(F.col(c).cast("double") for c in counted.columns))).alias("value"))
     values = values.unionByName(pro.counts(posts, "sentiment").select(F.explode(F.array(F.col("n").cast("double"), "share_pct")).alias("value")))
     keys = ["run_id", "narratif_no"]
-    return reports, keys, audit.findings(reports, keys, ["nom", "resume", "exemple"], pro.known_handles(posts), values, min_facts=audit.MIN_FACTS, report=["run_id"])
+    return reports, keys, audit.findings(reports, keys, ["nom", "resume", "exemple"], pro.known_handles(posts), values, ["nom", "resume"], audit.MIN_FACTS, ["run_id"])
 
 
 def _findings(spark, sf):
@@ -70,10 +71,16 @@ QUERIES = {
     "anchored_windows": _q(co.anchored_windows),
     "burst_size_over_time": _q(co.burst_sizes),
     "near_dup_pairs": _q(_near_pairs),
-    "near_dup_groups": _q(lambda p: near_dup_groups(co.dup_texts(p))),
+    "near_dup_groups": _q(lambda p: near_dup_groups(co.dup_texts(p)).withColumn("variant_examples", F.array_join("variant_examples", " | "))),
+    "near_dup_totals": _q(lambda p: near_dup_totals(near_dup_groups(co.dup_texts(p)))),
+    "top_synchronized_texts": _q(co.top_synchronized),
+    "coactivity_edges": _q(lambda p: CoActivity(p).edges()),
+    "coactivity_edges_repeated": _q(lambda p: CoActivity(p, min_edge_weight=2).edges()),
     "coactivity_links": _q(lambda p: CoActivity(p).account_links()),
     "network_components": _q(lambda p: CoActivity(p).components()),
     "network_summary": _q(lambda p: CoActivity(p).summary()),
+    "network_summary_repeated": _q(lambda p: CoActivity(p, min_edge_weight=2).summary()),
+    "network_community_summary": _q(lambda p: CoActivity(p).community_summary()),
     "network_communities": _q(lambda p: CoActivity(p).communities()),
     "network_clusters": _q(lambda p: CoActivity(p).clusters()),
     **{f"breakdown_by_{by}": _q(lambda p, by=by: breakdown(p, by)) for by in DIMENSIONS},
@@ -81,6 +88,7 @@ QUERIES = {
     "narratives": _q(lambda p: Topics(p).summary()),
     "narrative_timelines": _q(lambda p: Topics(p).timelines()),
     "narrative_lead_lag": _q(lambda p: Topics(p).lead_lag()),
+    "narrative_drift": _q(lambda p: Topics(p).drift()),
     "report_findings": _findings,
     "report_verdicts": _verdicts,
 }
@@ -118,7 +126,89 @@ SELECT segment, count(*) AS volume, round(count(*) * 100.0 / (SELECT count(*) FR
 FROM x LEFT JOIN (SELECT segment, sum(copies) AS c, sum(within) AS wi FROM sy GROUP BY 1) USING (segment) GROUP BY 1 HAVING count(*) >= 30 ORDER BY 2 DESC, 1 LIMIT 30""", ACCOUNTS, seg, _SEC.format(k="segment,", t="x", m=2))
 
 
+_EDGES = _MEMBERS + """,
+ed AS (
+  SELECT a.author AS src, b.author AS dst, count(*) AS weight, count(*) FILTER (WHERE a.size > 500) AS large
+  FROM m1 a JOIN m1 b ON a.text = b.text AND a.anchor = b.anchor AND a.author < b.author GROUP BY 1, 2 HAVING count(*) >= {least}
+)"""
+# each node takes the least label among its neighbours' until none changes
+_GROUPS = """,
+nb AS (SELECT src AS a, dst AS b FROM {edges} UNION ALL SELECT dst, src FROM {edges}),
+gr(node, label) USING KEY (node) AS (
+  SELECT DISTINCT a, a FROM nb
+  UNION
+  SELECT g.node, min(h.label) FROM recurring.gr g JOIN nb ON g.node = nb.a JOIN recurring.gr h ON h.node = nb.b WHERE h.label < g.label GROUP BY 1
+)"""
+_PAIRS = _GRAMS + """,
+pr AS (
+  SELECT a.text AS src, b.text AS dst FROM gg a JOIN gg b ON a.text < b.text AND least(len(a.l), len(b.l)) >= 0.8 * greatest(len(a.l), len(b.l))
+  WHERE len(list_intersect(a.l, b.l)) >= 0.8 * (len(a.l) + len(b.l) - len(list_intersect(a.l, b.l)))
+)""" + _GROUPS.format(edges="pr") + """,
+nd AS (SELECT label, text, n, row_number() OVER (PARTITION BY label ORDER BY n DESC, text) AS r FROM gr JOIN dup ON text = node)"""
+
+
+def _summary_sql(least: int) -> str:
+    return sql("""
+SELECT (SELECT count(*) FROM gr) AS n_nodes, (SELECT count(DISTINCT label) FROM gr) AS n_components, coalesce((SELECT max(c) FROM (SELECT count(*) AS c FROM gr GROUP BY label)), 0) AS largest_component,
+  (SELECT CAST(coalesce(sum((size - 1) / 2), 0) AS BIGINT) FROM m1) AS link_weight, (SELECT count(*) FROM ed) AS n_edges""", DUP, _EDGES.format(least=least) + _GROUPS.format(edges="ed"))
+
+
+_METRICS = "dup_rate synchrony_score verified_share low_footprint_share mean_reach mean_organic_engagement".split()
+# figures of the corpus, and the numbers and handles of the reports
+_REPORTS = f"""
+vals AS (
+  SELECT DISTINCT round(v, 4) AS v FROM (
+    SELECT unnest([n_messages, retweet_share_pct, verified_share_pct, n_authors, n_authors_1_msg, n_authors_ge_20_msg, span_days]) AS v FROM ({PROFILE_SQL['profile_summary']})
+    UNION ALL SELECT unnest([n, share_pct]) FROM ({PROFILE_SQL['sentiment_counts']})
+  ) WHERE v IS NOT NULL
+),
+gap AS (SELECT DISTINCT round(abs(a.v - b.v), 2) AS g FROM vals a, vals b WHERE a.v <> b.v),
+rp AS (SELECT run_id, narratif_no, concat_ws(chr(10), nom, resume, exemple) AS t, concat_ws(chr(10), nom, resume) AS prose FROM narratifs),
+hd AS (SELECT run_id, narratif_no, unnest(list_distinct(list_transform(regexp_extract_all(t, '{audit.HANDLE}', 1), lambda x: lower(x)))) AS token FROM rp),
+nr AS (SELECT run_id, narratif_no, unnest(regexp_extract_all(regexp_replace(t, '{audit.HANDLE}', ' ', 'g'), '{audit.NUMBER}')) AS raw FROM rp),
+nb AS (SELECT run_id, narratif_no, replace(regexp_replace(raw, '[\\s\u00a0\u202f]', '', 'g'), ',', '.') AS c FROM nr),
+nc AS (SELECT run_id, narratif_no, CASE WHEN len(c) - len(replace(c, '.', '')) > 1 THEN replace(c, '.', '') ELSE c END AS token FROM nb),
+nm AS (
+  SELECT DISTINCT run_id, narratif_no, token FROM nc
+  WHERE regexp_full_match(token, '\\d+(\\.\\d+)?') AND (contains(token, '.') OR (len(token) >= 3 AND NOT regexp_full_match(token, '(19|20)\\d\\d')))
+),
+ng AS (
+  SELECT *, EXISTS (SELECT 1 FROM (SELECT unnest([v, v * 100, v / 100]) AS b FROM vals) WHERE abs(CAST(token AS DOUBLE) - b) <= 0.05 + 0.01 * abs(b))
+    OR round(CAST(token AS DOUBLE), 2) IN (SELECT g FROM gap WHERE g > 0) AS ok
+  FROM nm
+),
+fc AS (
+  SELECT run_id, count(token) AS n FROM narratifs LEFT JOIN (
+    SELECT DISTINCT run_id, token FROM ng WHERE ok UNION SELECT run_id, '@' || token FROM hd WHERE token IN (SELECT handle FROM ({PROFILE_SQL['known_handles']}))
+  ) USING (run_id) GROUP BY run_id, narratif_no
+),
+fi AS (
+  SELECT run_id, narratif_no, 'unknown_handle' AS kind, 'error' AS severity, token FROM hd WHERE token NOT IN (SELECT handle FROM ({PROFILE_SQL['known_handles']}))
+  UNION ALL SELECT run_id, narratif_no, 'ungrounded_number', 'warning', token FROM ng WHERE NOT ok
+  UNION ALL SELECT run_id, narratif_no, 'tone', 'warning', unnest(list_distinct(list_transform(regexp_extract_all(prose, '{audit.TONE.replace("(?iu)", "(?i)")}', 1), lambda x: lower(x)))) FROM rp
+  UNION ALL SELECT DISTINCT run_id, narratif_no, 'empty_diagnosis', 'error', CAST(n AS VARCHAR) FROM narratifs JOIN (SELECT DISTINCT * FROM fc) USING (run_id) WHERE n < 3
+)"""
 SQL = {
+    "near_dup_groups": sql("""
+SELECT max(n_variants) AS n_variants, max(total_count) AS total_count, max(substr(text, 1, 160)) FILTER (WHERE r = 1) AS representative, coalesce(string_agg(substr(text, 1, 120), ' | ' ORDER BY r) FILTER (WHERE r BETWEEN 2 AND 4), '') AS variant_examples
+FROM (SELECT *, count(*) OVER (PARTITION BY label) AS n_variants, CAST(sum(n) OVER (PARTITION BY label) AS BIGINT) AS total_count FROM nd) GROUP BY label""", DUP, _PAIRS),
+    "near_dup_totals": sql("SELECT count(DISTINCT label) AS n_near_dup_groups, count(*) AS n_texts_merged, CAST(coalesce(sum(n), 0) AS BIGINT) AS messages_in_near_dup_groups FROM nd", DUP, _PAIRS),
+    "top_synchronized_texts": sql("""
+SELECT substr(text, 1, 120) AS text, copies, round(within * 100.0 / copies, 1) AS within_delta_pct, round(median_gap, 1) AS median_inter_arrival_seconds FROM ex ORDER BY within / copies DESC, copies DESC, ex.text LIMIT 15""", _SYNC),
+    "coactivity_edges": sql("SELECT src, dst, weight, large FROM ed", DUP, _EDGES.format(least=1)),
+    "coactivity_edges_repeated": sql("SELECT src, dst, weight, large FROM ed", DUP, _EDGES.format(least=2)),
+    "network_components": sql("SELECT node AS author, label AS component FROM gr", DUP, _EDGES.format(least=1) + _GROUPS.format(edges="ed")),
+    "network_summary": _summary_sql(1),
+    "network_summary_repeated": _summary_sql(2),
+    "breakdown_gaps": f"""
+SELECT metric, arg_min(segment, [-v, r]) AS max_segment, max(v) AS max, arg_min(segment, [v, r]) AS min_segment, min(v) AS min, round(max(v) - min(v), 2) AS spread FROM (
+  SELECT segment, row_number() OVER (ORDER BY segment) AS r, unnest([{', '.join(f"'{m}'" for m in _METRICS)}]) AS metric, unnest([{', '.join(f"CAST({m} AS DOUBLE)" for m in _METRICS)}]) AS v FROM ({_breakdown_sql("engagement")})
+) WHERE v IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
+    "report_findings": sql("SELECT * FROM fi", _REPORTS),
+    "report_verdicts": sql("""
+SELECT n.run_id, n.narratif_no, count(*) FILTER (WHERE severity = 'error') AS n_errors, count(*) FILTER (WHERE severity = 'warning') AS n_warnings,
+  CASE WHEN count(*) FILTER (WHERE severity = 'error') > 0 THEN 'revision' ELSE 'ok' END AS verdict
+FROM (SELECT DISTINCT run_id, narratif_no FROM narratifs) n LEFT JOIN fi USING (run_id, narratif_no) GROUP BY 1, 2""", _REPORTS),
     "dup_texts": sql("SELECT * FROM dup", DUP),
     "duplication": sql("""
 SELECT (SELECT count(*) FROM dup) AS n_distinct_duplicated_texts, round((SELECT sum(n) FROM dup) * 100.0 / count(*), 1) AS verbatim_duplication_rate_pct,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ripplework.operators import engagement as eng
 from ripplework.operators import profile as pro
 from ripplework.operators.coordination import dup_texts
-from ripplework.operators.topics import representatives, term_docfreq
+from ripplework.operators.topics import TERM_STOP_WORDS, representatives, term_docfreq
 from ripplework.plans.base_sql import ACCOUNTS, DUP, sql
 from ripplework.sources.posts import RETWEET, read_posts
 
@@ -68,7 +68,7 @@ QUERIES = {
     "actor_messages": _q(lambda p: eng.actor_messages(p, ACTOR)),
 }
 
-_TERM_STOP = "le la les un une des de du et a à en au aux ce cette ces que qui quoi dont ou où pour par sur avec sans dans est sont ete été être c est s il elle ils elles on nous vous je tu son sa ses mon ma mes ton ta tes leur leurs se ne pas ni plus moins mais donc or car si comme tout tous toute toutes meme même aussi bien fait faire cela ça y d l m n t qu jai jaine rt via https http co t.co amp lol"
+_TERM_STOP = " ".join(TERM_STOP_WORDS)
 _BIG = "round(x * 100.0 / n, 1)"
 _LOW = "lower(author) = 'le_ulric_village'"
 SQL = {

@@ -25,6 +25,21 @@ def test_blocks_are_json(corpus, name, options):
     json.dumps(out)
 
 
+def test_large_blocks_are_an_error(corpus):
+    with pytest.raises(ValueError, match="summary"):
+        collected({"summary": corpus.posts}, rows=5)
+
+
+def test_network_and_coordination_blocks(corpus):
+    out = collected(corpus.coordination(top=3))
+    assert len(out["top_synchronized_texts"]) <= 3 and out["near_duplicate_totals"][0]["n_near_dup_groups"] >= len(out["near_duplicates"])
+    net = collected(corpus.coordination_network())
+    assert net["summary"][0]["n_nodes"] >= net["communities"][0]["n_accounts_in_clusters"] >= sum(c["size"] for c in net["clusters"])
+    json.dumps([out, net])
+    some = collected(corpus.breakdown("day", metrics=("mean_reach", "colour")))
+    assert some["ignored_metrics"] == [{"metric": "colour"}]
+
+
 def test_profile_figures_agree(corpus):
     out = collected(corpus.profile())
     assert sum(r["n"] for r in out["engagement"]) == out["summary"][0]["n_messages"]

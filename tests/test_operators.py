@@ -1,6 +1,7 @@
 """Operators against brute force on small hand-made tables."""
 
 import itertools
+import os
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
@@ -9,13 +10,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplework.functions.text import handle, letters_digits, url_handle
-from ripplework.operators import audit, coordination as co, engagement as eng, profile as pro, timeseries as ts
+from ripplework.operators import audit, coordination as co, engagement as eng, neardup, profile as pro, timeseries as ts
 from ripplework.operators.balance import SLOT, Placement, match_rows, pack, top_rows
 from ripplework.operators.graph import CoActivity, linked_groups
-from ripplework.operators.neardup import char_ngrams, near_dup_groups, similar_groups, similar_pairs
-from ripplework.operators.segments import breakdown
+from ripplework.operators.neardup import char_ngrams, near_dup_groups, near_dup_totals, similar_groups, similar_pairs
+from ripplework.operators.quantiles import percentiles
+from ripplework.operators.segments import METRICS, breakdown, gaps, ignored
 from ripplework.operators.topics import Topics
-from ripplework.plans.cluster import lookup_join
+from ripplework.plans.cluster import cut, lookup_join, release
 from ripplework.sources.posts import RoleMap, project, read_posts, read_table, write_table
 from tests.conftest import SMALL
 
@@ -99,6 +101,42 @@ def test_empty_corpus(spark):
     assert Topics(none).summary().count() == 0
 
 
+def test_onsets_are_in_order_of_the_first_relay(spark):
+    url = "https://twitter.com/{}/status/1"
+    rows = [{"sec": s, "x_repost_of": url.format(h)} for s, h in ((50, "a"), (60, "a"), (70, "a"), (10, "b"), (80, "b"), (5, "c"))]
+    assert [(r.repost_handle, r.total) for r in ts.onsets(posts(spark, rows), 2).collect()] == [("b", 2), ("a", 3)]
+
+
+# percentiles
+
+
+def test_percentiles_against_sorting(spark):
+    rng = random.Random(9)
+    for values in ([], [None], [3.0], [rng.choice([1.0, 2.0, 7.5]) for _ in range(101)], [rng.uniform(-1e6, 1e6) for _ in range(500)] + [None] * 7 + [0.0] * 200):
+        df = spark.createDataFrame([(v, None) for v in values], "v double, w double").repartition(3)
+        got = percentiles(df, {"a": ("v", 0.25), "b": ("v", 0.9), "c": (F.col("v") * 2, 0.5), "d": ("w", 0.5), "e": ("v", 0.0), "f": ("v", 1.0)}).first()
+        known = sorted(v for v in values if v is not None)
+
+        def at(q, known=known):
+            h = q * (len(known) - 1)
+            lo, hi = known[int(h)], known[min(int(h) + 1, len(known) - 1)]
+            return lo + (h - int(h)) * (hi - lo)
+
+        want = [None] * 6 if not known else [at(0.25), at(0.9), 2 * at(0.5), None, known[0], known[-1]]
+        assert all(x == w or abs(x - w) < 1e-6 for x, w in zip(got, want))
+
+
+# intermediate tables
+
+
+def test_cut_tables_are_removed_on_release(spark):
+    df = cut(spark.createDataFrame([(1, "a"), (2, None)], "k int, s string"))
+    files = [f.removeprefix("file:") for f in df.inputFiles()]
+    assert files and all(map(os.path.exists, files)) and df.count() == 2
+    release(df, spark.range(3))
+    assert not any(map(os.path.exists, files))
+
+
 # coordination
 
 
@@ -181,15 +219,38 @@ def test_coactivity_against_pairs(spark):
                 pairs.update(itertools.combinations(sorted(win), 2))
                 anchor, win = s, set()
             win.add(a)
-    net = CoActivity(posts(spark, rows))
-    s = net.summary().first()
-    want = components(pairs)
-    assert (s.n_nodes, s.link_weight, s.n_components, s.largest_component) == (sum(map(len, want)), sum(pairs.values()), len(want), max(map(len, want)))
-    where = {r.author: r.component for r in net.components().collect()}
-    within = {r.community: set() for r in net.communities().collect()}
-    for r in net.communities().collect():
-        within[r.community].add(where[r.author])
-    assert all(len(c) == 1 for c in within.values())
+    table = posts(spark, rows)
+    # small windows only, and large ones that are never written out as pairs
+    for least, pair_window in ((1, 500), (1, 3), (2, 3), (3, 2)):
+        kept = {p: w for p, w in pairs.items() if w >= least}
+        net = CoActivity(table, min_edge_weight=least, pair_window=pair_window)
+        s = net.summary().first()
+        want = components(kept)
+        assert (s.n_nodes, s.n_edges, s.link_weight, s.n_components, s.largest_component) == (sum(map(len, want)), len(kept), sum(pairs.values()), len(want), max(map(len, want)))
+        edges = {(r.src, r.dst): r.weight for r in net.edges().collect()}
+        assert edges == (kept if pair_window == 500 else {p: kept[p] for p in edges})
+        where = {r.author: r.component for r in net.components().collect()}
+        assert {min(c) for c in want} == set(where.values())
+        found = net.communities().collect()
+        own, within = {r.author: r.community for r in found}, defaultdict(set)
+        for r in found:
+            within[r.community].add(where[r.author])
+        assert set(own) == set(where) and all(len(c) == 1 for c in within.values())
+        clusters = net.clusters(k=50, communities=spark.createDataFrame(list(own.items()), "author string, community string")).collect()
+        for c in clusters:
+            members = {a for a, g in own.items() if g == c.community}
+            assert (c.size, c.internal_edges) == (len(members), sum(a in members and b in members for a, b in kept))
+            assert c.sample_accounts == sorted(members)[:8]
+            counts = Counter(r["message_normalizer"] for r in rows if r["author"] in members)
+            assert [(x["text"], x["count"]) for x in c.dominant_texts] == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:3]
+        if least == 1:
+            total = sum(kept.values())
+            degree = Counter()
+            for (a, b), w in kept.items():
+                degree[own[a]] += w
+                degree[own[b]] += w
+            q = sum(w for (a, b), w in kept.items() if own[a] == own[b]) / total - sum((d / (2 * total)) ** 2 for d in degree.values())
+            assert abs(net.modularity(spark.createDataFrame(list(own.items()), "author string, community string")).first()[0] - q) < 1e-5
 
 
 def test_ngrams_and_pairs_against_brute_force(spark):
@@ -210,7 +271,29 @@ def test_ngrams_and_pairs_against_brute_force(spark):
         linked[r.label].add(r.node)
     assert {frozenset(g) for g in linked.values()} == components(want)
     groups = near_dup_groups(spark.createDataFrame([(t, 5 + i) for i, t in enumerate(dict.fromkeys(texts))], "text string, n long")).collect()
-    assert all(r.n_variants >= 2 for r in groups)
+    assert all(r.n_variants >= 2 and len(r.variant_examples) == min(3, r.n_variants - 1) for r in groups)
+    totals = near_dup_totals(spark.createDataFrame([(2, 11), (3, 20)], "n_variants long, total_count long")).first()
+    assert (totals.n_near_dup_groups, totals.n_texts_merged, totals.messages_in_near_dup_groups) == (2, 5, 31)
+
+
+def test_a_large_family_of_variants_is_linked_in_rounds(spark, monkeypatch):
+    """Chains and families, with every budget for pairs too small and with gram blocks of a few texts: the same groups."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    texts = [" ".join(words[:18]) + f" {i:05d}" for i in range(120)] + [" ".join(words[k : k + 20]) for k in range(12)] + [" ".join(rng.sample(words, 12)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(dict.fromkeys(texts))), "id long, t string")
+
+    def groups():
+        found = defaultdict(set)
+        for r in similar_groups(df, "id", "t").collect():
+            found[r.label].add(r.node)
+        return {frozenset(g) for g in found.values()}
+
+    want = components((r.src, r.dst) for r in similar_pairs(df, "id", "t").collect())
+    assert groups() == want and any(len(g) >= 120 for g in want)
+    monkeypatch.setattr(neardup, "PAIRS_A_ROW", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    assert groups() == want
 
 
 # load
@@ -262,11 +345,12 @@ def test_match_rows(spark):
 def test_lookup_join_spreads_hot_keys(spark):
     rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 40}") for i in range(900)], "id long, key string")
     table = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("key <> 'k3'")
-    got = lookup_join(rows, table, ["key"], "n", "id", share=0.1).collect()
     least = {}
     for i in range(900):
         least.setdefault("hot" if i % 3 else f"k{i % 40}", i)
-    assert len(got) == 900 and all(r.least == (None if r.key == "k3" else least[r.key]) for r in got)
+    for share in (0.1, 0.001):  # with a shuffled part, and all broadcast
+        got = lookup_join(rows, table, ["key"], "n", "id", share=share).collect()
+        assert len(got) == 900 and all(r.least == (None if r.key == "k3" else least[r.key]) for r in got)
 
 
 # façade pieces
@@ -284,6 +368,14 @@ def test_breakdown_volumes_sum_to_all(spark):
     assert sum(r.volume for r in breakdown(df, "day", min_seg=1, top=10_000).collect()) == df.count()
     with pytest.raises(ValueError):
         breakdown(df, "colour")
+    with pytest.raises(ValueError):
+        breakdown(df, "day", metrics=("colour",))
+    few = breakdown(df, "verified", metrics=("mean_reach", "colour", "volume"))
+    assert few.columns == ["segment", "mean_reach", "volume"] and ignored(("mean_reach", "colour")) == ["colour"]
+    whole = {r.segment: r for r in breakdown(df, "verified").collect()}
+    assert {r.segment: (r.mean_reach, r.volume) for r in few.collect()} == {k: (r.mean_reach, r.volume) for k, r in whole.items()}
+    assert [r.metric for r in gaps(few).collect()] == ["mean_reach"] and {r.metric for r in gaps(breakdown(df, "verified")).collect()} <= set(METRICS)
+    assert gaps(breakdown(df, "day", metrics=("volume",))).count() == 0
 
 
 def test_topics_cover_all_texts(spark):
@@ -291,12 +383,35 @@ def test_topics_cover_all_texts(spark):
     topics = Topics(df, k=3, n_init=1)
     assert sum(r.n_messages for r in topics.summary().collect()) == df.filter("text <> ''").count()
     assert len(topics.centres) == 3 and topics.terms().count() > 0
+    named = {r.text: 0 for r in topics.texts.select("text").collect()}
+    rows = topics.assigned().select("row_id", "text", "cluster").collect()
+    assert len({r.row_id for r in rows}) == len(rows) and {r.text for r in rows} == set(named)
+    lines = topics.timelines().collect()
+    totals = Counter()
+    for r in lines:
+        totals[r.cluster] += r.value
+    assert totals == Counter(r.cluster for r in rows) and {r.cluster for r in lines if r.of_peak == 1.0} == set(totals)
+    order = topics.lead_lag().collect()
+    assert [r.peak_period for r in order] == sorted(r.peak_period for r in order)
+    assert {(r.cluster, r.peak_value) for r in order} == {(c, max(r.value for r in lines if r.cluster == c)) for c in totals}
+    drift = topics.drift(k=2, start="2025-09-05", end="2025-09-20").collect()
+    assert {r.cluster for r in drift} == {c for c, _ in sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:2]}
+    assert all(datetime(2025, 9, 5) <= r.period <= datetime(2025, 9, 20) and 0 < r.of_peak <= 1 for r in drift)
+    summary = topics.summary(samples=2).collect()
+    assert abs(sum(r.share_pct for r in summary) - 100) < 0.5 and all(r.n_texts <= r.n_messages and len(r.samples) <= 2 and r.negative + r.neutral + r.positive <= r.n_messages for r in summary)
+    assert sum(r.n_texts for r in summary) == len(named)
+    single = Topics(df, k=3, n_init=1, dedupe=False)
+    assert single.assigned().count() == len(rows)
 
 
 def test_audit_findings(spark):
     reports = spark.createDataFrame([(1, "@Known et @ghost ont publié 1 234 messages, soit 85,8 %"), (2, "Des bots : 77777 vues en 2025"), (3, None)], "run long, t string")
     known = spark.createDataFrame([("known",)], "handle string")
     values = spark.createDataFrame([(1234.0,), (0.858,)], "value double")
+    assert audit.findings(reports, ["run"], ["t"], known, values, prose=["run"]).filter("kind = 'tone'").count() == 0
+    many = spark.range(5000).select(F.col("id").cast("double").alias("value"))
+    with pytest.raises(Exception, match="more than 2000 figures"):
+        audit.findings(reports, ["run"], ["t"], known, many).collect()
     found = audit.findings(reports, ["run"], ["t"], known, values)
     assert sorted((r.run, r.kind, r.token) for r in found.collect()) == [(1, "unknown_handle", "ghost"), (2, "tone", "bots"), (2, "ungrounded_number", "77777")]
     assert {r.run: r.verdict for r in audit.verdicts(reports, ["run"], found).collect()} == {1: "revision", 2: "ok", 3: "ok"}

@@ -1,6 +1,6 @@
 """Most frequent items of columns with any number of distinct values, in bounded memory.
 
-External sort and run-length counting. Each input task sorts a bounded buffer of values and writes it as a run of (value, count),
+External sort and run-length counting. Each input task sorts a buffer of values, bounded in bytes, and writes it as a run of (value, count),
 so a value that holds a third of all rows leaves a task as a few rows. Runs are range-partitioned by value and merged by an
 external sort; equal neighbours add up, and each range keeps only a heap of its k greatest counts. A value lies in one range,
 so counts are exact, and the k greatest of all are among the ranges' heaps.
@@ -20,11 +20,12 @@ from pyspark.sql import Window
 
 from ripplework.plans.cluster import cut, tasks_of
 
-BUFFER_ROWS = 500_000
+#: Bytes of the values of one column that a task holds before it writes a run; one Arrow batch may come on top.
+BUFFER_BYTES = 64 << 20
 _RUN = "field string, value string, n long"
 
 
-def _sorted_runs(names: list[str], buffer_rows: int):
+def _sorted_runs(names: list[str], buffer_bytes: int):
     def write(field: str, chunks: list[pa.Array]) -> pa.RecordBatch:
         counted = pa.chunked_array(chunks).combine_chunks().value_counts()
         value, n = counted.field("values"), counted.field("counts")
@@ -32,16 +33,15 @@ def _sorted_runs(names: list[str], buffer_rows: int):
         return pa.RecordBatch.from_arrays([pa.array([field] * len(value), pa.string()), value.take(order).cast(pa.string()), n.take(order).cast(pa.int64())], ["field", "value", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = {name: [] for name in names}, 0
+        held, size = {name: [] for name in names}, dict.fromkeys(names, 0)
         for batch in batches:
             for name in names:
-                held[name].append(batch.column(name))
-            rows += batch.num_rows
-            if rows >= buffer_rows:
-                yield from (write(name, held[name]) for name in names)
-                held, rows = {name: [] for name in names}, 0
-        if rows:
-            yield from (write(name, held[name]) for name in names)
+                held[name].append(batch.column(name).cast(pa.large_string()))
+                size[name] += batch.column(name).nbytes
+                if size[name] >= buffer_bytes:
+                    yield write(name, held[name])
+                    held[name], size[name] = [], 0
+        yield from (write(name, chunks) for name, chunks in held.items() if sum(map(len, chunks)))
 
     return run
 
@@ -98,14 +98,14 @@ def _merge_runs(k: int):
     return merge
 
 
-def frequent_items(df: DataFrame, columns: dict[str, Column], k: int, ranges: int | None = None, buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+def frequent_items(df: DataFrame, columns: dict[str, Column], k: int, ranges: int | None = None, buffer_bytes: int = BUFFER_BYTES) -> DataFrame:
     """``field``, ``value``, ``n`` (its rows) and ``total`` (all rows, NULL ones included) of the k most frequent values of each column.
 
     Of equal counts the lesser values come first. NULL isn't a value, the empty string is. No rows: no result. A column without
     a value gives no rows. Values count as strings.
     """
     values = df.select(*(c.cast("string").alias(name) for name, c in columns.items()))
-    runs = cut(values.mapInArrow(_sorted_runs(list(columns), buffer_rows), _RUN))
+    runs = cut(values.mapInArrow(_sorted_runs(list(columns), buffer_bytes), _RUN))
     ranges = ranges or tasks_of(df.sparkSession)
     merged = runs.repartitionByRange(ranges, "field", "value").sortWithinPartitions("field", "value")
     best = merged.mapInArrow(_merge_runs(k), _RUN)

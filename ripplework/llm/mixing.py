@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,13 +63,27 @@ def fly(p: list[float], size: list[float], rng: random.Random, land: bool = Fals
     return p
 
 
+def settle(p: float, size: np.ndarray) -> np.ndarray:
+    """What the steps between documents of equal size come to where all have the chance ``p``: of those of a size, which stand together and in random
+    order, as many are taken as their chances add up to, the next one keeps the rest, and no others are."""
+    new = np.ones(len(size), bool)
+    new[1:] = size[1:] != size[:-1]
+    starts = np.flatnonzero(new)
+    n = np.diff(np.append(starts, len(size)))
+    whole = np.floor(n * p + _NEAR)
+    place = np.arange(len(size)) - np.repeat(starts, n)
+    rest = n * p - whole
+    return np.where(place < np.repeat(whole, n), 1.0, np.where(place == np.repeat(whole, n), np.repeat(np.where(rest > _NEAR, rest, 0.0), n), 0.0))
+
+
 class Mix:
     """The mixture of ``docs`` (``doc_id``, ``source``, ``n_tokens``) for ``targets`` (``source``, ``target_share``, ``max_repeats``).
 
     Sources are compared trimmed and lower-cased. Documents of NULL or unlisted sources take no part. A source listed more than
     once has the sum of its shares and the greatest of its caps; one with NULL or negative figures has 0. ``total`` is the size to reach, by default
     the tokens of all documents that take part. Documents without tokens count as documents. A listed source without documents
-    is reported with zeros. ``docs`` is read several times: pass a table that is cheap to read.
+    is reported with zeros. ``docs`` is read several times: pass a table that is cheap to read. The plan of the sources is made on the driver:
+    more than ``MAX_SOURCES`` listed sources are an error.
     """
 
     def __init__(self, docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, bucket_rows: int = BUCKET_ROWS):
@@ -102,7 +117,13 @@ class Mix:
                 # large documents first, so that small ones are left for the landing
                 rows = rows.sort_values(["n_tokens", "order", "doc_id"], ascending=[False, True, True])
                 rng = random.Random(f"{seed} {key}")
-                rows["p"] = fly(rows["p"].tolist(), rows["n_tokens"].astype(float).tolist(), rng, land)
+                p, size = rows["p"].to_numpy(), rows["n_tokens"].to_numpy()
+                if len(p) and 0 < p[0] < 1 and (p == p[0]).all():
+                    p = settle(p[0], size)
+                left = np.flatnonzero((p > 0) & (p < 1))
+                p = p.copy()
+                p[left] = fly(p[left].tolist(), size[left].astype(float).tolist(), rng, land)
+                rows["p"] = p
                 return rows
 
             return run

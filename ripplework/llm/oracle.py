@@ -40,7 +40,22 @@ f AS (
   ) WINDOW w AS (PARTITION BY a, d, m, e)
 )"""
 
+_GROUPS = r"""
+WITH RECURSIVE w AS (
+  SELECT row_id, list_sort(list_distinct(list_transform(regexp_extract_all(message_normalizer, '[\p{L}\p{N}]+'), lambda x: lower(x)))) AS l FROM posts WHERE message_normalizer IS NOT NULL
+), s AS (SELECT l, min(row_id) AS id FROM w WHERE len(l) >= 12 GROUP BY 1),
+e AS (
+  SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.id < b.id AND 2 * least(len(a.l), len(b.l)) >= greatest(len(a.l), len(b.l))
+  WHERE 3 * len(list_intersect(a.l, b.l)) >= len(a.l) + len(b.l)
+), nb AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+g(id, label) USING KEY (id) AS (
+  SELECT id, id FROM s
+  UNION
+  SELECT x.id, min(y.label) FROM recurring.g x JOIN nb ON x.id = nb.a JOIN recurring.g y ON y.id = nb.b WHERE y.label < x.label GROUP BY 1
+), r AS (SELECT label AS cluster_id, row_id FROM w JOIN s USING (l) JOIN g ON g.id = s.id)
+"""
 SQL = {
+    "p2_found": _GROUPS + "SELECT cluster_id, row_id FROM r QUALIFY count(*) OVER (PARTITION BY cluster_id) > 1",
     "p1_found": _HANDLES + "SELECT field, handle FROM c WHERE n >= 0.005 * (SELECT count(*) FROM posts)",
     "p1_top_handles": _HANDLES + """
 SELECT field, handle, n, n / (SELECT count(*) FROM posts) AS share FROM c

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ripplework.llm.tokens import RANKS, TOKENIZERS, Codec, spaced
+from ripplework.llm.tokens import RANKS, TOKENIZERS, Codec, codec, spaced
 
 LIMIT, OVERLAP = 1024, 64
 _CLOSERS = "[\"'”’»)\\]}]*"
@@ -80,13 +80,13 @@ def split_texts(df: DataFrame, id_col: str, text: str, limit: int = LIMIT, overl
     names = [id_col, "piece_no", "n_pieces", "start", "core_start", "stop", "n_tokens", "piece"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(folder, ranks)
+        known = codec(folder, ranks)
         for batch in batches:
             rows = []
             for row, raw in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 if raw is not None:
                     whole = raw.decode(errors="replace")
-                    cut = pieces(whole, codec, limit, overlap)
+                    cut = pieces(whole, known, limit, overlap)
                     rows += [(row, k, len(cut), s, c, e, n, whole[s:e]) for k, (s, c, e, n) in enumerate(cut)]
             columns = list(zip(*rows)) if rows else [()] * 8
             kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.string()]

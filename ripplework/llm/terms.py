@@ -18,10 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplework.functions.text import TERM
 from ripplework.plans.cluster import cut, tasks_of
 
-#: Fixed pattern: a term of three or more letters.
-TERM = "[a-zàâçéèêëîïôûùüÿñæœ]{3,}"
 BUFFER_TERMS = 2_000_000
 
 

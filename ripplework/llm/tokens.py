@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +38,8 @@ def spaced(text: str) -> str:
     return _SEPARATORS.sub("\x00", text)
 
 
-
 class Codec:
-    """One vocabulary, loaded once a task."""
+    """One vocabulary. Take it from ``codec``, which loads it once a Python worker."""
 
     def __init__(self, folder: str = TOKENIZERS, ranks: str = RANKS):
         import tiktoken
@@ -82,6 +82,14 @@ class Codec:
         return b"".join(map(self._bytes.__getitem__, ids))
 
 
+def codec(folder: str = TOKENIZERS, ranks: str = RANKS) -> Codec:
+    """The vocabulary, kept for the next task of this worker. The package is sent to each task anew, so it can't keep anything itself."""
+    kept = sys.__dict__.setdefault("_ripplework_codecs", {})
+    if (folder, ranks) not in kept:
+        kept[folder, ranks] = Codec(folder, ranks)
+    return kept[folder, ranks]
+
+
 def with_ids(df: DataFrame, text: str, ids: str = "ids", folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
     """``df`` with the ids of column ``text`` beside it, under ``ids``. Other columns pass unchanged; ``ids`` must be free."""
     if ids in df.columns:
@@ -89,9 +97,9 @@ def with_ids(df: DataFrame, text: str, ids: str = "ids", folder: str = TOKENIZER
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(folder, ranks)
+        known = codec(folder, ranks)
         for batch in batches:
-            coded = [codec.encode_bytes(raw) for raw in batch.column(at).cast(pa.binary()).to_pylist()]
+            coded = [known.encode_bytes(raw) for raw in batch.column(at).cast(pa.binary()).to_pylist()]
             offsets = np.zeros(len(coded) + 1, np.int32)
             np.cumsum([len(x) for x in coded], out=offsets[1:])
             flat = np.fromiter((i for x in coded for i in x), np.int32, int(offsets[-1]))
@@ -107,9 +115,9 @@ def with_token_count(df: DataFrame, text: str, name: str = "n_tokens", folder: s
     kept = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(folder, ranks)
+        known = codec(folder, ranks)
         for batch in batches:
-            n = [len(codec.encode_bytes(raw)) for raw in batch.column(at).cast(pa.binary()).to_pylist()]
+            n = [len(known.encode_bytes(raw)) for raw in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64())], [*kept, name])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != text)
@@ -121,9 +129,9 @@ def with_text(df: DataFrame, ids: str, text: str = "raw", folder: str = TOKENIZE
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(folder, ranks)
+        known = codec(folder, ranks)
         for batch in batches:
-            raw = [codec.decode(x or []) for x in batch.column(at).to_pylist()]
+            raw = [known.decode(x or []) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, text])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -11,24 +11,36 @@ import regex
 from pyspark.sql import functions as F
 
 from ripplework.llm.copies import Copies, parse_payload
-from ripplework.llm.frequent import _merge_runs, frequent_items, items_above
+from ripplework.llm.frequent import _merge_runs, _sorted_runs, frequent_items, items_above
 from ripplework.llm.terms import TERM, term_counts
 
 # most frequent items
 
 
-@pytest.mark.parametrize("buffer_rows", [1, 50, 10**6])
-def test_top_items(spark, buffer_rows):
-    rng = random.Random(buffer_rows)
+@pytest.mark.parametrize("buffer_bytes", [1, 500, 10**7])
+def test_top_items(spark, buffer_bytes):
+    rng = random.Random(buffer_bytes)
     rows = [(rng.choice(["hot"] * 20 + [f"v{i}" for i in range(40)] + ["", None]), rng.choice(["a", "b", None]), "x", 1) for _ in range(1500)]
     df = spark.createDataFrame(rows, "v string, w string, field string, n int").repartition(5)
-    got = frequent_items(df, {"v": F.col("v"), "w": F.col("w")}, 12, ranges=3, buffer_rows=buffer_rows).collect()
+    got = frequent_items(df, {"v": F.col("v"), "w": F.col("w")}, 12, ranges=3, buffer_bytes=buffer_bytes).collect()
     for k, name in enumerate("vw"):
         want = sorted(((x, n) for x, n in Counter(r[k] for r in rows if r[k] is not None).items()), key=lambda x: (-x[1], x[0]))[:12]
         assert sorted(((r.value, r.n) for r in got if r.field == name), key=lambda x: (-x[1], x[0])) == want
     assert {r.total for r in got} == {1500}
 
 
+def test_buffers_are_bounded_in_bytes():
+    """Long values: a run holds the buffer and one batch at most, whatever the number of rows."""
+    texts = [f"{i % 700:05d}" * 2000 for i in range(4000)]
+    batches = (pa.RecordBatch.from_arrays([pa.array(texts[a : a + 50]), pa.array(["x"] * 50)], ["v", "w"]) for a in range(0, 4000, 50))
+    counts, runs = Counter(), 0
+    for run in _sorted_runs(["v", "w"], 2 << 20)(batches):
+        assert run.nbytes <= 3 << 20 and run.column(1).to_pylist() == sorted(run.column(1).to_pylist())
+        counts.update({(f, v): n for f, v, n in zip(*(run.column(i).to_pylist() for i in range(3)))})
+        runs += 1
+    assert counts == Counter(("v", t) for t in texts) + Counter({("w", "x"): 4000}) and runs >= 17
+
+
 def test_runs_merge_across_batches():
     rng = random.Random(5)
     for _ in range(100):

@@ -3,10 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ripplework.llm.mixing import Mix, fly
+from ripplework.llm.mixing import Mix, fly, settle
 from ripplework.llm.splitting import pieces, split_texts
 from ripplework.llm.tokens import Codec, round_trip, with_ids, with_text, with_token_count
 from tests.conftest import SMALL
@@ -91,6 +92,16 @@ def test_flight_keeps_both_totals():
         assert set(landed) <= {0.0, 1.0} and abs(sum(landed) - sum(p)) < 1.001
 
 
+def test_equal_sizes_are_settled_at_once():
+    rng = np.random.default_rng(3)
+    for p in (0.001, 0.25, 0.5, 0.731, 0.999):
+        size = np.sort(rng.integers(0, 40, 500))[::-1]
+        got = settle(p, size)
+        assert abs(got.sum() - p * 500) < 1e-6 and abs((got * size).sum() - p * size.sum()) < 1e-4
+        assert (((got > 0) & (got < 1)).sum() <= len(set(size.tolist()))) and got.min() >= 0 and got.max() <= 1
+    assert settle(0.5, np.array([], np.int64)).size == 0
+
+
 def test_flight_keeps_chances():
     hits = [0] * 6
     for trial in range(4000):

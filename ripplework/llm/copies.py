@@ -73,10 +73,10 @@ class Copies:
         return rows.filter(F.col(self.id_col) != F.col("kept_id")).select("kept_id", F.col(self.id_col).alias("copy_id"))
 
 
-def parse_payload(payload: Column | str, names: list[str]) -> Column:
-    """A struct of the named fields of a record that is a JSON object or ``name=value`` fields separated by ``|``. Names are compared by
+def parse_payloads(df: DataFrame, id_col: str, payload: str, names: list[str]) -> DataFrame:
+    """The id and the named fields of each record that is a JSON object or ``name=value`` fields separated by ``|``. Names are compared by
     their letters. Of fields with one name the first that isn't empty counts; what can't be read has no fields."""
-    payload = F.trim(F.col(payload) if isinstance(payload, str) else payload)
+    payload = F.trim(F.col(payload))
     json = F.map_entries(F.from_json(payload, T.MapType(T.StringType(), T.StringType())))
     pairs = F.transform(
         F.split(payload, r"\|"),
@@ -87,6 +87,7 @@ def parse_payload(payload: Column | str, names: list[str]) -> Column:
     full = F.filter(known, lambda e: F.trim(e["value"]) != "")
 
     def first(name: str) -> Column:
-        return F.get(F.filter(full, lambda e: e["key"] == name), F.lit(0))["value"]
+        return F.get(F.filter("_full", lambda e: e["key"] == name), F.lit(0))["value"]
 
-    return F.struct(*(first(name).alias(name) for name in names))
+    # through a generator, so that the fields are read once and not again for each name
+    return df.select(id_col, F.explode(F.array(full)).alias("_full")).select(id_col, *(first(name).alias(name) for name in names))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplework.functions.text import handle, url_handle
 from ripplework.functions.time import micros
-from ripplework.llm.copies import Copies, parse_payload
+from ripplework.llm.copies import Copies, parse_payloads
 from ripplework.llm.frequent import frequent_items, items_above
 from ripplework.llm.mixing import Mix
 from ripplework.llm.narratives import Narratives
@@ -68,7 +68,7 @@ def _post_copies(spark: SparkSession, sf: str) -> Copies:
 
 def _record_copies(spark: SparkSession, sf: str) -> Copies:
     fields = ["author", "date", "messagenormalizer", "engagementtype"]
-    records = _table(spark, sf, "raw_records").select("record_id", parse_payload("payload", fields).alias("p")).select("record_id", "p.*")
+    records = cut(parse_payloads(_table(spark, sf, "raw_records"), "record_id", "payload", fields))
     return Copies(records, "record_id", fields, (), {"engagementtype": "original"})
 
 

@@ -10,7 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from ripplework.llm.copies import Copies, parse_payload
+from ripplework.llm.copies import Copies, parse_payloads
 from ripplework.llm.frequent import _merge_runs, _sorted_runs, frequent_items, items_above
 from ripplework.llm.terms import TERM, term_counts
 
@@ -137,5 +137,5 @@ def test_payloads(spark):
         json.dumps({"Author": "x|y=z", "Engagement Type": None, "DATE": "2025"}), "date=1 | AUTHOR = a=b |engagementType=", "Author=|author=q", "{broken", "", None, "no fields", json.dumps({"author": 5, "Message Normalizer": "é\n"}),
     ]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "i int, p string")
-    rows = [r[0] for r in df.orderBy("i").select(parse_payload("p", ["author", "date", "messagenormalizer", "engagementtype"]).alias("r")).collect()]
+    rows = parse_payloads(df, "i", "p", ["author", "date", "messagenormalizer", "engagementtype"]).orderBy("i").collect()
     assert [(canon(r.author), canon(r.date), canon(r.messagenormalizer), canon(r.engagementtype)) for r in rows] == [("xyz", "2025", "", ""), ("ab", "1", "", ""), ("q", "", "", ""), *[("",) * 4] * 4, ("5", "", "é", "")]

@@ -47,6 +47,45 @@ def linked_groups(edges: DataFrame) -> DataFrame:
     return labels
 
 
+#: Communities that a node sees in a large window, besides its own.
+SEEN = 8
+
+
+def _degrees(links: DataFrame, large: DataFrame) -> DataFrame:
+    sizes = large.groupBy("win").agg(F.sum("m").alias("size"))
+    met = large.join(sizes, "win").select("node", (F.col("w") * F.col("m") * (F.col("size") - F.col("m"))).alias("w"))
+    return links.select(F.col("src").alias("node"), "w").unionByName(met).groupBy("node").agg(F.sum("w").cast("double").alias("k"))
+
+
+def _settled(nodes: DataFrame, links: DataFrame, large: DataFrame, whole: float, settled: float, rounds: int) -> DataFrame:
+    """``nodes`` (``node``, ``k``) with the ``label`` of each after local moves."""
+    now, windows = cut(nodes.select("node", "k", F.col("node").alias("label"), F.lit(True).alias("moved"))), not large.isEmpty()
+    for turn in range(rounds):
+        own = now.select("node", "label")
+        near = links.join(own.select(F.col("node").alias("dst"), "label"), "dst").select(F.col("src").alias("node"), "label", "w")
+        placed = large.join(own, "node")
+        counts = placed.groupBy("win", "label").agg(F.sum("m").alias("n"))
+        rank = F.row_number().over(Window.partitionBy("win").orderBy(F.desc("n"), "label"))
+        most = counts.withColumn("_r", rank).filter(F.col("_r") <= SEEN).drop("_r")
+        seen = placed.withColumnRenamed("label", "_own").join(most, "win").select("node", "label", (F.col("w") * F.col("m") * (F.col("n") - F.when(F.col("label") == F.col("_own"), F.col("m")).otherwise(0))).alias("w"))
+        kept = placed.join(counts, ["win", "label"]).join(most.select("win", "label"), ["win", "label"], "left_anti").select("node", "label", (F.col("w") * F.col("m") * (F.col("n") - F.col("m"))).alias("w"))
+        near = (near.unionByName(seen).unionByName(kept) if windows else near).unionByName(own.withColumn("w", F.lit(0).cast("long"))).groupBy("node", "label").agg(F.sum("w").alias("w"))
+        totals = now.groupBy("label").agg(F.sum("k").alias("_all"), F.count(F.lit(1)).alias("n"))
+        near = lookup_join(near, totals, ["label"], "n", "node").join(now.select("node", "k", F.col("label").alias("_own")), "node")
+        stays = F.col("label") == F.col("_own")
+        gain = F.col("w") - F.col("k") * (F.col("_all") - F.when(stays, F.col("k")).otherwise(0.0)) / whole
+        best = near.groupBy("node").agg(F.min(F.struct(F.round(-gain, 9).alias("a"), (~stays).alias("o"), hash_order("label").alias("h"), "label"))["label"].alias("best"))
+        mine = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+        after = now.join(best, "node").select("node", "k", F.when(mine, F.col("best")).otherwise(F.col("label")).alias("label"), F.when(mine, F.col("best") != F.col("label")).otherwise(F.col("moved")).alias("moved"))
+        after = cut(after)
+        release(now)
+        now = after
+        n, moved = now.agg(F.count(F.lit(1)), F.count_if("moved")).first()
+        if turn and moved <= settled * n:
+            break
+    return now
+
+
 class CoActivity:
     """Accounts linked by each window of ``delta`` seconds in which both post a duplicated text; a link's weight is the number of such windows,
     and links below ``min_edge_weight`` are left out.
@@ -134,30 +173,44 @@ class CoActivity:
         rows = links.select(F.explode(F.array("src", "dst")).alias("author"), F.xxhash64("src", "dst").alias("win"), F.lit(2).cast("long").alias("size"), "weight")
         return rows.unionByName(members.join(heads.filter("size > 1"), "class").select("author", F.col("class").alias("win"), "size", F.lit(self.least).cast("long").alias("weight")))
 
-    def communities(self, settled: float = 0.001, most: int = 50) -> DataFrame:
-        """``author`` and ``community``, by label propagation: each window takes the label most frequent among its accounts, each account
-        that most frequent among its windows (its own label goes first among equals), larger windows counting less. In each round one half of the
-        accounts, by hash, moves, so that labels don't swap for ever. Ends when at most ``settled`` of all accounts moved in both
-        halves together, or after ``most`` rounds. Communities lie within components."""
-        rows = cut(self._incidences())
-        labels = cut(rows.select("author").distinct().withColumn("label", F.col("author")).withColumn("moved", F.lit(True)))
-        for turn in range(most):
-            votes = rows.join(labels.select("author", "label"), "author").groupBy("win", "label").agg(F.count(F.lit(1)).alias("v"))
-            wins = votes.groupBy("win").agg(F.min(F.struct((-F.col("v")).alias("a"), F.xxhash64("label").alias("h"), "label"))["label"].alias("label"))
-            votes = rows.join(wins, "win").groupBy("author", "label").agg(F.round(F.sum(F.col("weight") / F.col("size")), 9).alias("v"))
-            best = votes.join(labels.select("author", F.col("label").alias("_own")), "author").groupBy("author").agg(
-                F.min(F.struct((-F.col("v")).alias("a"), (F.col("label") != F.col("_own")).alias("o"), F.xxhash64("label").alias("h"), "label"))["label"].alias("best")
-            )
-            mine = F.pmod(F.xxhash64("author", F.lit(1)), F.lit(2)) == turn % 2
-            found = labels.join(best, "author", "left").withColumn("best", F.coalesce("best", "label"))
-            found = found.select("author", F.when(mine, F.col("best")).otherwise(F.col("label")).alias("label"), F.when(mine, F.col("best") != F.col("label")).otherwise(F.col("moved")).alias("moved"))
-            found = cut(found)
-            release(labels)
-            labels = found
-            n, moved = labels.agg(F.count(F.lit(1)), F.count_if("moved")).first()
-            if moved <= settled * n and turn:
+    def _weighted(self) -> tuple[DataFrame, DataFrame]:
+        """The graph for communities: ``src``, ``dst`` and ``w`` in both directions, and ``node``, ``win``, ``m`` and ``w`` of the large windows (or
+        classes), whose accounts are all linked to each other."""
+        if self.least == 1:
+            pairs, large = self.edges().select("src", "dst", (F.col("weight") - F.col("large")).alias("w")), self.large.withColumn("w", F.lit(1).cast("long"))
+        else:
+            members, heads, between = self._heads()
+            members = members.join(heads.filter("size > 1").select("class"), "class")
+            pairs = self.edges().select("src", "dst", F.col("weight").alias("w")).unionByName(between.withColumn("w", F.lit(self.least).cast("long")))
+            large = members.withColumnRenamed("class", "win").withColumn("w", F.lit(self.least).cast("long"))
+        both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+        return cut(both), cut(large.select(F.col("author").alias("node"), "win", F.lit(1).cast("long").alias("m"), "w"))
+
+    def communities(self, settled: float = 0.005, rounds: int = 12, levels: int = 8) -> DataFrame:
+        """``author`` and ``community``, by local moves towards greater modularity. In each round one half of the nodes, by another hash, moves: each to that of its
+        neighbours' communities which raises modularity most. When at most ``settled`` of the nodes moved at their last turn, or after ``rounds``
+        rounds, communities become nodes and the same starts again, until none of them moves. Communities lie within components. In windows above ``pair_window``
+        a node sees its own community and the ``SEEN`` largest ones."""
+        links, large = self._weighted()
+        nodes = cut(_degrees(links, large))
+        placed, whole = cut(nodes.select(F.col("node").alias("author"), F.col("node").alias("community"))), nodes.agg(F.sum("k")).first()[0] or 0
+        if not whole:
+            return self.rows.select("author", F.col("author").alias("community")).distinct() if self.least == 1 else placed
+        for _ in range(levels):
+            found = _settled(nodes, links, large, whole, settled, rounds)
+            if found.filter("label <> node").isEmpty():
                 break
-        return labels.select("author", F.col("label").alias("community"))
+            to = found.select("node", "label", F.lit(1).cast("long").alias("n"))
+            sizes = placed.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+            to = cut(to.drop("n").withColumnRenamed("node", "community").join(sizes, "community"))
+            placed = cut(lookup_join(placed, to, ["community"], "n", "author").select("author", F.col("label").alias("community")))
+            ends = found.select("node", "label")
+            for end in ("src", "dst"):
+                links = links.join(ends.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("label", end)
+            links = cut(links.filter("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w")))
+            large = cut(large.join(ends, "node").groupBy(F.col("label").alias("node"), "win", "w").agg(F.sum("m").alias("m")).select("node", "win", "m", "w"))
+            nodes = cut(found.groupBy(F.col("label").alias("node")).agg(F.sum("k").alias("k")))
+        return placed
 
     def modularity(self, communities: DataFrame) -> DataFrame:
         """One row: the ``modularity`` of the communities (``author``, ``community``), over the windows' links or those left by ``min_edge_weight``."""

@@ -44,37 +44,60 @@ def representatives(posts: DataFrame) -> DataFrame:
     return posts.filter("text <> ''").groupBy("text").agg(F.count(F.lit(1)).alias("weight"), best.alias("row_id"))
 
 
+def tfidf(texts: DataFrame, min_df: int = 5, max_features: int = 5000, ngram: int = 2) -> tuple[DataFrame | None, list[str], list[float]]:
+    """The rows of ``texts`` with their ``terms`` and vectors (``tf``, and ``features``, weighted and at unit length), the vocabulary and its weights.
+
+    Terms are words and, with ``ngram`` 2, pairs of neighbours once stop words are gone, of which the ``max_features`` most frequent ones that occur in at least
+    ``min_df`` texts and at most half of them are kept. A weight is ln((1 + texts) / (1 + texts with the term)) + 1. Without such terms: None."""
+    words = RegexTokenizer(inputCol="text", outputCol="_all", gaps=False, pattern=r"(?U)\b\w\w+\b").transform(texts)
+    words = StopWordsRemover(inputCol="_all", outputCol="_one", stopWords=STOP_WORDS).transform(words)
+    for n in range(2, ngram + 1):
+        words = NGram(n=n, inputCol="_one", outputCol=f"_{n}").transform(words)
+    words = words.withColumn("terms", F.concat("_one", *(f"_{n}" for n in range(2, ngram + 1))))
+    words = cut(words.select(*texts.columns, "terms"))
+    try:
+        counter = CountVectorizer(inputCol="terms", outputCol="tf", minDF=float(min_df), maxDF=0.5, vocabSize=max_features).fit(words)
+    except Exception as e:
+        if "vocabulary" not in str(e).lower() and "requirement failed" not in str(e):
+            raise
+        return None, [], []
+    counted = counter.transform(words)
+    weights = IDF(inputCol="tf", outputCol="_").fit(counted).idf.toArray() + 1.0
+    scaled = ElementwiseProduct(inputCol="tf", outputCol="w", scalingVec=Vectors.dense(weights)).transform(counted)
+    return Normalizer(inputCol="w", outputCol="features").transform(scaled).drop("w"), counter.vocabulary, weights.tolist()
+
+
+def term_weights(posts: DataFrame, **options) -> DataFrame:
+    """The vocabulary of the distinct texts of ``posts``: ``term``, ``weight``, how often it occurs (``n``), and the sum of its parts of the texts' vectors
+    (``mass``). ``options`` are those of ``tfidf``."""
+    spark = posts.sparkSession
+    vectors, vocabulary, weights = tfidf(representatives(posts).select("text"), **options)
+    if vectors is None:
+        return spark.createDataFrame([], "term string, weight double, n long, mass double")
+    parts = vectors.select(F.posexplode(F.arrays_zip(vector_to_array("tf").alias("tf"), vector_to_array("features").alias("x"))).alias("at", "p")).filter("p.tf > 0")
+    sums = parts.groupBy("at").agg(F.sum("p.tf").cast("long").alias("n"), F.round(F.sum("p.x"), 6).alias("mass"))
+    terms = spark.createDataFrame([(i, t, w) for i, (t, w) in enumerate(zip(vocabulary, weights))], "at int, term string, weight double")
+    return sums.join(F.broadcast(terms), "at").select("term", F.round("weight", 9).alias("weight"), "n", "mass")
+
+
 class Topics:
     """k-means over the TF-IDF vectors of the distinct texts.
 
-    Vectors have at most ``max_features`` terms (words and, with ``ngram`` 2, pairs of neighbours once stop words are gone) that occur in at least ``min_df``
-    texts and at most half of them: raw counts times ln((1 + texts) / (1 + texts with the term)) + 1, at unit length. Of ``n_init``
+    The vectors are those of ``tfidf``. Of ``n_init``
     fits with following seeds the closest is kept. A corpus without such terms has no topics.
     """
 
     def __init__(self, posts: DataFrame, k: int = 6, min_df: int = 5, max_features: int = 5000, ngram: int = 2, seed: int = 42, n_init: int = 3, dedupe: bool = True):
         self.posts = posts
         texts = representatives(posts) if dedupe else posts.filter("text <> ''").select("text", F.lit(1).cast("long").alias("weight"), "row_id")
-        words = RegexTokenizer(inputCol="text", outputCol="_all", gaps=False, pattern=r"(?U)\b\w\w+\b").transform(texts)
-        words = StopWordsRemover(inputCol="_all", outputCol="_one", stopWords=STOP_WORDS).transform(words)
-        for n in range(2, ngram + 1):
-            words = NGram(n=n, inputCol="_one", outputCol=f"_{n}").transform(words)
-        words = words.withColumn("terms", F.concat("_one", *(f"_{n}" for n in range(2, ngram + 1))))
-        words = cut(words.select("text", "weight", "row_id", "terms"))
-        self.vocabulary, self.centres, self.texts = [], [], None
-        try:
-            counter = CountVectorizer(inputCol="terms", outputCol="tf", minDF=float(min_df), maxDF=0.5, vocabSize=max_features).fit(words)
-        except Exception as e:
-            if "vocabulary" not in str(e).lower() and "requirement failed" not in str(e):
-                raise
+        self.centres, self.texts = [], None
+        scaled, self.vocabulary, _ = tfidf(texts, min_df, max_features, ngram)
+        if scaled is None:
             return
-        counted = counter.transform(words)
-        weights = Vectors.dense(IDF(inputCol="tf", outputCol="_").fit(counted).idf.toArray() + 1.0)
-        scaled = ElementwiseProduct(inputCol="tf", outputCol="w", scalingVec=weights).transform(counted)
-        scaled = Normalizer(inputCol="w", outputCol="features").transform(scaled).select("text", "weight", "row_id", "features").persist()
+        scaled = scaled.select("text", "weight", "row_id", "features").persist()
         models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(scaled) for i in range(n_init)]
         best = min(models, key=lambda m: m.summary.trainingCost)
-        self.vocabulary, self.centres = counter.vocabulary, [c.tolist() for c in best.clusterCenters()]
+        self.centres = [c.tolist() for c in best.clusterCenters()]
         self.texts = cut(best.setPredictionCol("cluster").transform(scaled))
         scaled.unpersist()
 

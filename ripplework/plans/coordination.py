@@ -10,7 +10,7 @@ from ripplework.operators import profile as pro
 from ripplework.operators.graph import CoActivity
 from ripplework.operators.neardup import char_ngrams, near_dup_groups, near_dup_totals, similar_pairs
 from ripplework.operators.segments import DIMENSIONS, breakdown, gaps
-from ripplework.operators.topics import Topics
+from ripplework.operators.topics import STOP_WORDS, Topics, term_weights
 from ripplework.plans.base_sql import ACCOUNTS, DUP, sql
 from ripplework.plans.profile import SQL as PROFILE_SQL
 from ripplework.sources.posts import RETWEET, read_posts
@@ -57,6 +57,12 @@ def _verdicts(spark, sf):
     return audit.verdicts(reports, keys, found)
 
 
+def _leaks(spark, sf):
+    """The handles and numbers in the examples of a run's narratives that their names and summaries don't hold."""
+    reports = spark.read.parquet(f"{sf}/narratifs.parquet")
+    return audit.leaks(reports, reports, ["run_id"], ["exemple"], ["nom", "resume"])
+
+
 QUERIES = {
     "dup_texts": _q(co.dup_texts),
     "duplication": _q(co.duplication),
@@ -88,9 +94,11 @@ QUERIES = {
     "narratives": _q(lambda p: Topics(p).summary()),
     "narrative_timelines": _q(lambda p: Topics(p).timelines()),
     "narrative_lead_lag": _q(lambda p: Topics(p).lead_lag()),
+    "narrative_terms": _q(lambda p: term_weights(p, max_features=1 << 18)),
     "narrative_drift": _q(lambda p: Topics(p).drift()),
     "report_findings": _findings,
     "report_verdicts": _verdicts,
+    "report_leaks": _leaks,
 }
 
 _SEC = """
@@ -205,6 +213,34 @@ SELECT metric, arg_min(segment, [-v, r]) AS max_segment, max(v) AS max, arg_min(
   SELECT segment, row_number() OVER (ORDER BY segment) AS r, unnest([{', '.join(f"'{m}'" for m in _METRICS)}]) AS metric, unnest([{', '.join(f"CAST({m} AS DOUBLE)" for m in _METRICS)}]) AS v FROM ({_breakdown_sql("engagement")})
 ) WHERE v IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
     "report_findings": sql("SELECT * FROM fi", _REPORTS),
+    "narrative_terms": sql(f"""
+SELECT term, round(any_value(weight), 9) AS weight, CAST(sum(tf) AS BIGINT) AS n, round(sum(tf * weight / norm), 6) AS mass FROM (
+  SELECT *, sqrt(sum(pow(tf * weight, 2)) OVER (PARTITION BY text)) AS norm FROM (
+    SELECT *, ln((1 + (SELECT count(*) FROM tx)) / (1 + df)) + 1 AS weight FROM (SELECT text, term, count(*) AS tf, count(*) OVER (PARTITION BY term) AS df FROM tm GROUP BY 1, 2)
+    WHERE df >= 5 AND df <= 0.5 * (SELECT count(*) FROM tx)
+  )
+) GROUP BY 1""", f"""
+tx AS (SELECT DISTINCT text FROM p WHERE text <> ''),
+tw AS (SELECT text, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]{{2,}}'), lambda x: x NOT IN ({', '.join(f"'{w}'" for w in STOP_WORDS)})) AS l FROM tx),
+tm AS (SELECT text, unnest(l) AS term FROM tw UNION ALL SELECT text, unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) FROM tw)"""),
+    "report_leaks": f"""
+WITH rp AS (SELECT run_id, concat_ws(chr(10), nom, resume) AS told, exemple AS made FROM narratifs),
+hd AS (SELECT DISTINCT run_id, unnest(list_transform(regexp_extract_all(made, '{audit.HANDLE}', 1), lambda x: lower(x))) AS token FROM rp),
+ht AS (SELECT DISTINCT run_id, unnest(list_transform(regexp_extract_all(told, '{audit.HANDLE}', 1), lambda x: lower(x))) AS token FROM rp),
+nr AS (
+  SELECT run_id, side, replace(regexp_replace(raw, '[\\s\u00a0\u202f]', '', 'g'), ',', '.') AS c FROM (
+    SELECT run_id, 'made' AS side, unnest(regexp_extract_all(regexp_replace(made, '{audit.HANDLE}', ' ', 'g'), '{audit.NUMBER}')) AS raw FROM rp
+    UNION ALL SELECT run_id, 'told', unnest(regexp_extract_all(told, '{audit.NUMBER}')) FROM rp
+  )
+),
+nc AS (SELECT DISTINCT run_id, side, CASE WHEN len(c) - len(replace(c, '.', '')) > 1 THEN replace(c, '.', '') ELSE c END AS token FROM nr),
+vals AS (SELECT DISTINCT run_id, round(TRY_CAST(token AS DOUBLE), 4) AS v FROM nc WHERE side = 'told' AND TRY_CAST(token AS DOUBLE) IS NOT NULL),
+gap AS (SELECT DISTINCT a.run_id, round(abs(a.v - b.v), 2) AS g FROM vals a JOIN vals b USING (run_id) WHERE round(abs(a.v - b.v), 2) > 0)
+SELECT run_id, 'livrable_leak' AS kind, 'error' AS severity, token FROM hd ANTI JOIN ht USING (run_id, token)
+UNION ALL SELECT run_id, 'livrable_leak', 'warning', token FROM nc
+WHERE side = 'made' AND regexp_full_match(token, '\\d+(\\.\\d+)?') AND (contains(token, '.') OR (len(token) >= 3 AND NOT regexp_full_match(token, '(19|20)\\d\\d')))
+  AND NOT EXISTS (SELECT 1 FROM vals v WHERE v.run_id = nc.run_id AND (abs(CAST(token AS DOUBLE) - v) <= 0.05 + 0.01 * abs(v) OR abs(CAST(token AS DOUBLE) - v * 100) <= 0.05 + abs(v) OR abs(CAST(token AS DOUBLE) - v / 100) <= 0.05 + 0.0001 * abs(v)))
+  AND NOT EXISTS (SELECT 1 FROM gap WHERE gap.run_id = nc.run_id AND g = round(CAST(token AS DOUBLE), 2))""",
     "report_verdicts": sql("""
 SELECT n.run_id, n.narratif_no, count(*) FILTER (WHERE severity = 'error') AS n_errors, count(*) FILTER (WHERE severity = 'warning') AS n_warnings,
   CASE WHEN count(*) FILTER (WHERE severity = 'error') > 0 THEN 'revision' ELSE 'ok' END AS verdict

@@ -231,7 +231,9 @@ def test_coactivity_against_pairs(spark):
         assert edges == (kept if pair_window == 500 else {p: kept[p] for p in edges})
         where = {r.author: r.component for r in net.components().collect()}
         assert {min(c) for c in want} == set(where.values())
-        found = net.communities().collect()
+        if pair_window != 3:
+            continue
+        found = net.communities(rounds=4, levels=2).collect()
         own, within = {r.author: r.community for r in found}, defaultdict(set)
         for r in found:
             within[r.community].add(where[r.author])
@@ -253,6 +255,25 @@ def test_coactivity_against_pairs(spark):
             assert abs(net.modularity(spark.createDataFrame(list(own.items()), "author string, community string")).first()[0] - q) < 1e-5
 
 
+@pytest.mark.parametrize("pair_window", [500, 5])
+def test_communities_are_the_planted_ones(spark, pair_window):
+    """Four crews that post together, in large windows or small ones, and a few stray meetings between crews."""
+    rng = random.Random(7)
+    rows = []
+    for win in range(60):
+        crew = win % 4
+        members = [f"c{crew}_{k}" for k in rng.sample(range(9), 6)] + ([f"c{(crew + 1) % 4}_0"] if win % 15 == 0 else [])
+        rows += [{"sec": win * 1000 + k, "message_normalizer": "abc"[win % 3], "author": a} for k, a in enumerate(members)]
+    net = CoActivity(posts(spark, rows), pair_window=pair_window)
+    found = net.communities().collect()
+    groups = defaultdict(set)
+    for r in found:
+        groups[r.community].add(r.author)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(f"c{c}_{k}" for k in range(9)) for c in range(4)}
+    table = spark.createDataFrame(found)
+    assert net.modularity(table).first().modularity > 0.5 and net.community_summary(table).first()[:2] == (4, 36)
+
+
 def test_ngrams_and_pairs_against_brute_force(spark):
     df = spark.createDataFrame([("abcdef",), ("ab",), (" ",), ("a  b\tc",)], "t string")
     assert [sorted(r[0]) for r in df.select(char_ngrams("t")).collect()] == [["abc", "bcd", "cde", "def"], ["ab"], [], [" b ", "a b", "b c"]]

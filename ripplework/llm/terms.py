@@ -118,7 +118,8 @@ def term_counts(df: DataFrame, text: Column | str, depth: int = 3, lengths: tupl
     total = records.agg(F.sum("n")).first()[0] or 0
     names = [f"t{d}" for d in range(depth)]
     schema = ", ".join(f"{t} string" for t in names) + ", dup int, n long"
-    suffixes = records.filter("terms <> ''").mapInArrow(_suffix_runs(depth, buffer_terms), schema)
+    # written, since the range partition reads them twice
+    suffixes = cut(records.filter("terms <> ''").mapInArrow(_suffix_runs(depth, buffer_terms), schema))
     array = suffixes.repartitionByRange(tasks_of(df.sparkSession), *names).sortWithinPartitions(*names)
     found = array.mapInArrow(_intervals(depth, lengths), "n_terms int, term string, n_occurrences long, n_records long")
     whole = found.groupBy("n_terms", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ripplework.operators.graph import absorb, hash_order, linked_groups
-from ripplework.plans.cluster import cut, lookup_join, tasks_of
+from ripplework.plans.cluster import cut, lookup_join, release, tasks_of
 
 MIN_WORDS, SIMILARITY = 12, 0.5
 #: (bands, rows a band) of the two waves.
@@ -288,6 +288,7 @@ class Narratives:
         groups = linked_groups(close).withColumnRenamed("node", "set_id")
         fine = links(self.sets, groups, FINE, similarity)
         self.edges = cut(close.unionByName(fine))
+        release(close)
 
     def _expand(self, sets: DataFrame, *values: str) -> DataFrame:
         """One row for each record of ``sets``."""

@@ -106,22 +106,46 @@ def term_lists(text: Column | str, pattern: str = TERM) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0)), " ")
 
 
-def term_counts(df: DataFrame, text: Column | str, depth: int = 3, lengths: tuple[int, ...] = (1,), rare_below: int = 5, common_share: float = 0.5, pattern: str = TERM, buffer_terms: int = BUFFER_TERMS) -> DataFrame:
+def _suffixes(records: DataFrame, depth: int, buffer_terms: int) -> DataFrame:
+    """The suffix array of ``records`` (``terms``, ``n``), sorted in ranges: columns ``t0`` and on, ``dup``, ``n``."""
+    names = [f"t{d}" for d in range(depth)]
+    schema = ", ".join(f"{t} string" for t in names) + ", dup int, n long"
+    # written, since the range partition reads them twice
+    runs = cut(records.filter("terms <> ''").mapInArrow(_suffix_runs(depth, buffer_terms), schema))
+    return runs.repartitionByRange(tasks_of(records.sparkSession), *names).sortWithinPartitions(*names)
+
+
+def _counted(records: DataFrame, depth: int, lengths: tuple[int, ...], buffer_terms: int) -> DataFrame:
+    found = _suffixes(records, depth, buffer_terms).mapInArrow(_intervals(depth, lengths), "n_terms int, term string, n_occurrences long, n_records long")
+    return found.groupBy("n_terms", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
+
+
+def repeated_length(df: DataFrame, text: Column | str, pattern: str = TERM, buffer_terms: int = BUFFER_TERMS) -> int:
+    """The terms of the longest n-gram that two different lists of terms share, 0 without one. The array's depth is doubled while n-grams of full depth are shared."""
+    records = cut(df.select(term_lists(text, pattern).alias("terms")).distinct().withColumn("n", F.lit(1).cast("long")))
+    depth, last = 4, 0
+    while True:
+        shared = _counted(records, depth, tuple(range(last + 1, depth + 1)), buffer_terms).filter("n_records > 1")
+        longest = shared.agg(F.max("n_terms")).first()[0] or last
+        if longest < depth:
+            return longest
+        depth, last = depth * 2, depth
+
+
+def term_counts(df: DataFrame, text: Column | str, depth: int | None = 3, lengths: tuple[int, ...] | None = (1,), rare_below: int = 5, common_share: float = 0.5, pattern: str = TERM, buffer_terms: int = BUFFER_TERMS) -> DataFrame:
     """``n_terms``, ``term``, ``n_occurrences``, ``n_records`` and ``status`` of every n-gram of ``lengths`` (at most ``depth``).
 
     ``rare``: fewer than ``rare_below`` records hold it; ``common``: more than ``common_share`` of all records, those without
-    a text included, hold it (``rare`` goes first); else ``useful``. No terms: no rows.
+    a text included, hold it (``rare`` goes first); else ``useful``. No terms: no rows. Every term of ``depth`` makes the suffixes longer. With a ``depth`` of None
+    it is that of the longest n-gram which two different texts share (at least 1), beyond which every n-gram is in one of them only; ``lengths`` of None are
+    all up to the depth.
     """
+    depth = max(1, repeated_length(df, text, pattern, buffer_terms)) if depth is None else depth
+    lengths = tuple(range(1, depth + 1)) if lengths is None else lengths
     if not 1 <= max(lengths) <= depth:
         raise ValueError("lengths must lie between 1 and depth")
     records = cut(df.groupBy(term_lists(text, pattern).alias("terms")).agg(F.count(F.lit(1)).alias("n")))
     total = records.agg(F.sum("n")).first()[0] or 0
-    names = [f"t{d}" for d in range(depth)]
-    schema = ", ".join(f"{t} string" for t in names) + ", dup int, n long"
-    # written, since the range partition reads them twice
-    suffixes = cut(records.filter("terms <> ''").mapInArrow(_suffix_runs(depth, buffer_terms), schema))
-    array = suffixes.repartitionByRange(tasks_of(df.sparkSession), *names).sortWithinPartitions(*names)
-    found = array.mapInArrow(_intervals(depth, lengths), "n_terms int, term string, n_occurrences long, n_records long")
-    whole = found.groupBy("n_terms", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
+    whole = _counted(records, depth, lengths, buffer_terms)
     status = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") > total * common_share, "common").otherwise("useful")
     return whole.withColumn("status", status)

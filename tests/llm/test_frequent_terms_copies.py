@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ripplework.llm.copies import Copies, parse_payloads
 from ripplework.llm.frequent import _merge_runs, _sorted_runs, frequent_items, items_above
-from ripplework.llm.terms import TERM, term_counts
+from ripplework.llm.terms import TERM, repeated_length, term_counts
 
 # most frequent items
 
@@ -96,6 +96,17 @@ def test_ngram_counts(spark, depth, lengths, buffer_terms):
         assert r.n_terms == len(r.term.split())
 
 
+def test_ngrams_as_long_as_two_texts_share(spark):
+    """The depth follows the longest n-gram that two different texts share."""
+    rng = random.Random(1)
+    base = [f"mot{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(26)]
+    texts = [" ".join(base[:23]), " ".join(["autre", *base[2:21], "fin"]), " ".join(rng.sample(base, 9)), " ".join(base[:23]), None, "motb " * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert repeated_length(df, "text") == 19 and repeated_length(df.limit(0), "text") == 0 and repeated_length(df.filter("text LIKE 'motb%'"), "text") == 0
+    got = term_counts(df, "text", None, None).collect()
+    assert {r.term: (r.n_occurrences, r.n_records) for r in got} == brute_terms(texts, range(1, 20))
+
+
 def test_no_terms(spark):
     df = spark.createDataFrame([(None,), ("a b",)], "text string")
     assert term_counts(df, "text").count() == 0 and term_counts(df.limit(0), "text").count() == 0

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from ripplework.plans.cluster import tasks_of
+from ripplework.plans.cluster import cut, release, tasks_of
 
 SLOT = "_slot"
 BUCKETS_A_TASK = 16
@@ -54,11 +54,12 @@ class Placement:
         spark = df.sparkSession
         self.keys, self.tasks = keys, tasks or tasks_of(spark)
         self.buckets = self.tasks * BUCKETS_A_TASK
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("_bucket", self._bucket())
-        total = df.count()
+        counts = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("_bucket", self._bucket()))
+        total = counts.agg(F.sum("n")).first()[0] or 0
         heavy = max(1, total // (self.tasks * HEAVY_A_TASK))
         key = F.when(F.col("n") > heavy, F.struct(*keys))
         load = counts.groupBy("_bucket", key.alias("key")).agg(F.sum("n").alias("n")).collect()
+        release(counts)
         items = []
         for bucket, key, n in load:
             shards = 1 if key is None else math.ceil(n / heavy)

@@ -50,23 +50,23 @@ def minute_bursts(posts: DataFrame, least: int = 3, k: int | None = 15) -> DataF
 
 
 def text_seconds(posts: DataFrame, min_dup: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``text``, ``sec`` and ``c``, the copies of duplicated texts by second."""
-    rows = posts.filter("text <> ''").groupBy(*keys, "text", seconds("ts").alias("sec")).agg(F.count(F.lit(1)).alias("c"))
-    total = F.sum("c").over(Window.partitionBy(*keys, "text"))
+    """``k`` (the text's key), ``sec`` and ``c``, the copies of duplicated texts by second. No text is shuffled."""
+    rows = posts.filter("text <> ''").groupBy(*keys, text_key("text").alias("k"), seconds("ts").alias("sec")).agg(F.count(F.lit(1)).alias("c"))
+    total = F.sum("c").over(Window.partitionBy(*keys, "k"))
     return rows.withColumn("_n", total).filter(F.col("_n") >= min_dup).drop("_n")
 
 
-def synchrony_per_text(posts: DataFrame, delta: int = 60, min_dup: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
-    """For each duplicated text: copies, those with another at most ``delta`` seconds away, median gap, life span, and the copies one would expect
-    within ``delta`` if all were spread evenly over it. Different gaps of a text add up to its life span at most, so the median looks at no
+def synchrony_by_key(posts: DataFrame, delta: int = 60, min_dup: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """For each duplicated text, by its key ``k``: copies, those with another at most ``delta`` seconds away, median gap, life span, and the copies one
+    would expect within ``delta`` if all were spread evenly over it. Different gaps of a text add up to its life span at most, so the median looks at no
     more values than the root of twice the span in seconds, however many copies there are."""
-    at = Window.partitionBy(*keys, "text").orderBy("sec")
+    at = Window.partitionBy(*keys, "k").orderBy("sec")
     rows = text_seconds(posts, min_dup, keys).withColumn("before", F.col("sec") - F.lag("sec").over(at)).withColumn("after", F.lead("sec").over(at) - F.col("sec"))
     near = (F.col("c") > 1) | (F.least("before", "after") <= delta)
     gaps = F.array(F.struct(F.col("before").alias("gap"), F.lit(1).cast("long").alias("w")), F.struct(F.lit(0).cast("long").alias("gap"), (F.col("c") - 1).alias("w")))
-    rows = rows.select(*keys, "text", "sec", "c", near.alias("near"), F.posexplode(gaps).alias("i", "g"))
+    rows = rows.select(*keys, "k", "sec", "c", near.alias("near"), F.posexplode(gaps).alias("i", "g"))
     one = F.col("i") == 0
-    found = rows.groupBy(*keys, "text").agg(
+    found = rows.groupBy(*keys, "k").agg(
         F.sum(F.when(one, F.col("c"))).alias("copies"), F.coalesce(F.sum(F.when(one & F.col("near"), F.col("c"))), F.lit(0)).alias("within"),
         F.percentile("g.gap", 0.5, F.when(F.col("g.gap").isNotNull(), F.col("g.w")).otherwise(0)).alias("median_gap"), (F.max("sec") - F.min("sec")).alias("span"),
     )
@@ -75,9 +75,15 @@ def synchrony_per_text(posts: DataFrame, delta: int = 60, min_dup: int = 5, keys
     return found.withColumn("expected", F.when(n >= 2, even).otherwise(0.0)).withColumn("within_pct", pct(F.col("within"), n))
 
 
+def synchrony_per_text(posts: DataFrame, delta: int = 60, min_dup: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``synchrony_by_key`` with the texts."""
+    texts = dup_texts(posts, min_dup, keys).select(*keys, "text", text_key("text").alias("k"))
+    return synchrony_by_key(posts, delta, min_dup, keys).join(texts, [*keys, "k"]).drop("k")
+
+
 def synchrony(posts: DataFrame, delta: int = 60, min_dup: int = 5) -> DataFrame:
     """One row: observed and expected share of copies within ``delta`` seconds of another, and their ratio."""
-    figures = synchrony_per_text(posts, delta, min_dup).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("copies_considered"), F.coalesce(F.sum("within"), F.lit(0)).alias("copies_within_delta"), F.sum("expected").alias("e"))
+    figures = synchrony_by_key(posts, delta, min_dup).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("copies_considered"), F.coalesce(F.sum("within"), F.lit(0)).alias("copies_within_delta"), F.sum("expected").alias("e"))
     n = F.nullif("copies_considered", F.lit(0))
     seen, even = F.col("copies_within_delta") / n * 100, F.col("e") / n * 100
     return figures.select(

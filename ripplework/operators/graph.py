@@ -92,7 +92,8 @@ class CoActivity:
 
     Windows are kept as incidences with accounts: one of m accounts is m rows, not m (m - 1) / 2 pairs. Pairs are formed
     only within windows of at most ``pair_window`` accounts. What larger windows link is found without pairs of accounts: accounts that are in
-    the same large windows form a class, and classes are held against each other, so every figure is exact whatever the size of a window.
+    the same large windows form a class, and classes are held against each other, so every figure is exact whatever the size of a window. What is counted by class
+    costs as much as there are pairs of classes in a large window; components and communities of a ``min_edge_weight`` of 1 don't need it.
     """
 
     def __init__(self, posts: DataFrame, delta: int = 60, min_dup: int = 5, min_edge_weight: int = 1, pair_window: int = 500):

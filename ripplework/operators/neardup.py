@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ripplework.operators.graph import linked_groups
-from ripplework.plans.cluster import cut, lookup_join
+from ripplework.plans.cluster import cut, lookup_join, release
 
 #: 64-bit words of a text's map.
 WORDS = 4
@@ -101,6 +101,7 @@ def similar_groups(texts: DataFrame, id_col: str, text: str, threshold: float =
     while joined and _left(rows) > PAIRS_A_ROW * total:
         found = _checked(_stars(rows, threshold, turn), sets, threshold)
         labels, joined = _joined(labels, found)
+        release(rows)
         rows, turn = cut(prefix.join(labels.withColumnRenamed("node", "id"), "id")), turn + 1
     labels, _ = _joined(labels, _checked(_meeting(rows, threshold, "label"), sets, threshold))
     sizes = cut(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("_in")).filter("n > 1"))
@@ -124,7 +125,9 @@ def _joined(labels: DataFrame, found: DataFrame) -> tuple[DataFrame, bool]:
         return labels, False
     sizes = cut(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(groups.select(F.col("node").alias("label"), F.col("label").alias("_to")), "label"))
     after = lookup_join(labels, sizes, ["label"], "n", "node")
-    return cut(after.select("node", F.coalesce("_to", "label").alias("label"))), True
+    after = cut(after.select("node", F.coalesce("_to", "label").alias("label")))
+    release(labels, sizes, groups)
+    return after, True
 
 
 def _stars(rows: DataFrame, threshold: float, turn: int) -> DataFrame:

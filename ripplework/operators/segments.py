@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplework.functions.time import floor_to
-from ripplework.operators.coordination import synchrony_per_text
+from ripplework.operators.coordination import synchrony_by_key
 from ripplework.operators.profile import low_footprint, pct
 
 DIMENSIONS = ("sentiment", "engagement", "verified", "day", "hour")
@@ -44,7 +44,7 @@ def breakdown(posts: DataFrame, by: str, min_dup: int = 2, delta: int = 60, min_
         whole = posts.agg(F.count(F.lit(1)).alias("_all"))
         found = found.join(F.broadcast(whole)).withColumn("share_pct", pct(F.col("volume"), F.col("_all")))
     if {"dup_rate", "synchrony_score"} & set(known):
-        texts = synchrony_per_text(rows, delta, max(min_dup, 2), ("segment",)).groupBy("segment").agg(F.sum("copies").alias("c"), F.sum("within").alias("w"))
+        texts = synchrony_by_key(rows, delta, max(min_dup, 2), ("segment",)).groupBy("segment").agg(F.sum("copies").alias("c"), F.sum("within").alias("w"))
         found = found.join(texts, "segment", "left")
         found = found.withColumn("dup_rate", F.coalesce(pct(F.col("c"), F.col("volume")), F.lit(0.0))).withColumn("synchrony_score", F.coalesce(pct(F.col("w"), F.col("c")), F.lit(0.0)))
     if "low_footprint_share" in known:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's shared checkpoint folder. Only a session inside one machine gets a temporary one of its own."""
+    """Use the session's shared checkpoint folder. Only a session inside one machine gets a temporary one of its own, which goes with it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
@@ -20,6 +22,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="ripplework-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
 
 

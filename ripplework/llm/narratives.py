@@ -314,13 +314,16 @@ class Narratives:
         sets = self.sets.join(whole_clusters(self.sets, self.edges, self.similarity), "set_id", "left").withColumn("pivot", F.coalesce("pivot", "set_id"))
         sets = cut(sets)
         sizes = sets.groupBy("pivot").agg(F.sum("n").alias("n_posts"), F.count(F.lit(1)).alias("n_texts"), F.sum(F.col("n") * F.size("hashes")).alias("_words")).filter("n_posts > 1")
-        exploded = sets.select("pivot", "set_id", "n", F.size("hashes").alias("size"), F.explode("hashes").alias("word"))
+        sizes = cut(sizes.withColumn("_t", F.col("n_texts")))
+        sized = cut(lookup_join(sets.select("pivot", "set_id", "n", "hashes"), sizes, ["pivot"], "_t", "set_id").filter("n_posts IS NOT NULL"))
+        several = sized.filter("n_texts > 1")
+        exploded = several.select("pivot", "set_id", "n", "n_posts", "_words", F.size("hashes").alias("size"), F.explode("hashes").alias("word"))
         weight = cut(exploded.groupBy("pivot", "word").agg(F.sum("n").alias("_in"), F.count(F.lit(1)).alias("_n")))
         profile = lookup_join(exploded, weight, ["pivot", "word"], "_n", "set_id")
-        shared = profile.groupBy("pivot", "set_id", "n", "size").agg(F.sum("_in").alias("_shared"))
-        sized = lookup_join(shared, cut(sizes), ["pivot"], "n_texts", "set_id").filter("n_posts IS NOT NULL")
+        shared = profile.groupBy("pivot", "set_id", "n", "n_posts", "_words", "size").agg(F.sum("_in").alias("_shared"))
         mean, common = F.col("_words") / F.col("n_posts"), F.col("_shared") / F.col("n_posts")
-        scored = sized.withColumn("score", F.round(common / (F.col("size") + mean - common), 9))
+        scored = shared.select("pivot", "set_id", "n", F.round(common / (F.col("size") + mean - common), 9).alias("score"))
+        scored = scored.unionByName(sized.filter("n_texts = 1").select("pivot", "set_id", "n", F.lit(1.0).alias("score")))
         best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("a"), (-F.col("n")).alias("b"), F.col("set_id").alias("id")))), 1, typical)
         # the best of each hash share first, so that no group is gathered whole
         share = F.pmod(hash_order("set_id"), F.lit(1024))
@@ -330,7 +333,7 @@ class Narratives:
         few = few.withColumn("_r", last).filter(F.col("_r") <= typical)
         tops = few.groupBy("pivot").agg(best.alias("t"))
         whole = self.df.agg(F.count(F.lit(1)).alias("_all"))
-        out = sizes.join(tops, "pivot").join(F.broadcast(whole))
+        out = sizes.drop("_t").join(tops, "pivot").join(F.broadcast(whole))
         out = out.select(
             F.col("pivot").alias("pivot_id"), "n_posts", F.round(F.col("n_posts") * 100 / F.col("_all"), 4).alias("share_pct"), "n_texts",
             F.transform("t", lambda x: x["id"]).alias("typical_ids"), F.get("t", F.lit(0))["id"].alias("medoid_id"),

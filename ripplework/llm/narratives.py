@@ -85,9 +85,9 @@ def _bands(bands: int, rows: int):
     return run
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], every: bool = False) -> Iterator[pa.RecordBatch]:
     """Pairs to check of the buckets and cells, which come one after another, each by its low bits, then in hash order. One that
-    goes on in the next batches is kept whole until it ends."""
+    goes on in the next batches is kept whole until it ends. ``every``: those of members that their pivot absorbs too."""
     names, open_ = ["bucket", "set_id", "label", "s1", "s2"], []
     for batch in batches:
         if not batch.num_rows:
@@ -98,14 +98,14 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             start = int(np.searchsorted(rows[0], rows[0][-1] >> 2 << 2))
             open_ = []
             if start:
-                yield from _pairs_within([x[:start] for x in rows])
+                yield from _pairs_within([x[:start] for x in rows], every)
             rows = [x[start:] for x in rows]
         open_.append([x.copy() for x in rows])
     if open_:
-        yield from _pairs_within([np.concatenate(x) for x in zip(*open_)])
+        yield from _pairs_within([np.concatenate(x) for x in zip(*open_)], every)
 
 
-def _pairs_within(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _pairs_within(rows: list[np.ndarray], every: bool) -> Iterator[pa.RecordBatch]:
     """The pairs of whole buckets, ``PAIRS_AT_ONCE`` or one member's at once."""
     key, ids, label, s1, s2 = rows
     role, key = key & 3, key >> 2
@@ -131,7 +131,7 @@ def _pairs_within(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     take = apart & (alike >= MAYBE)
     yield from batch_of(ids[pivot[take]], ids[row[take]])
     absorbed = np.zeros(len(new), bool)
-    absorbed[row] = ~apart | (alike >= PLAIN)
+    absorbed[row] = ~apart | ((alike >= PLAIN) & (not every))
     rest = np.concatenate([row[~absorbed[row]], np.flatnonzero((role == HELD) & (others[bucket] > 0))])
     to = np.cumsum(others[bucket[rest]])
     at = 0
@@ -149,7 +149,7 @@ def _pairs_within(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-def _spread(rows: DataFrame, shape: tuple[int, int]) -> DataFrame:
+def _spread(rows: DataFrame, shape: tuple[int, int], every: bool = False) -> DataFrame:
     """The sets in their buckets. A bucket with more than a task's part of all sets, as one set in ``PROBE`` shows, is divided into a grid of cells.
 
     Its pivot is the probed member of least hash. Each member is in the cells of one line of the grid, and the pivot and whoever is not
@@ -168,7 +168,7 @@ def _spread(rows: DataFrame, shape: tuple[int, int]) -> DataFrame:
     if large.isEmpty():
         return banded.withColumn("bucket", whole)
     differ = sum(F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"_s{k}"))) for k in (1, 2))
-    plain = (F.col("label") == F.col("_label")) | (differ <= 128 - PLAIN)
+    plain = (F.col("label") == F.col("_label")) | ((differ <= 128 - PLAIN) & F.lit(not every))
     held = seen.join(F.broadcast(large), "bucket").groupBy("bucket").agg(F.greatest(F.count_if(~plain), F.lit(1)).alias("_held"))
     parts = F.ceil(F.col("_n") * 2 / least)
     grid = large.join(held, "bucket").withColumn("_lines", F.least(parts, F.ceil(F.sqrt(parts * F.col("_n") / F.col("_held"))))).withColumn("_columns", F.ceil(parts / F.col("_lines")))
@@ -184,14 +184,15 @@ def _spread(rows: DataFrame, shape: tuple[int, int]) -> DataFrame:
     return parted.select(F.explode(cells).alias("bucket"), "set_id", "label", "s1", "s2")
 
 
-def links(sets: DataFrame, labels: DataFrame | None, shape: tuple[int, int], threshold: float) -> DataFrame:
-    """``src``, ``dst`` and ``sim`` of the pairs of ``sets`` that meet in a bucket, differ in label and are similar enough."""
+def links(sets: DataFrame, labels: DataFrame | None, shape: tuple[int, int], threshold: float, every: bool = False) -> DataFrame:
+    """``src``, ``dst`` and ``sim`` of pairs of ``sets`` that meet in a bucket, differ in label and are similar enough: those that hold all of them together, in
+    which members of a bucket that are plainly like its pivot are linked to that only, or ``every`` one."""
     spark = sets.sparkSession
     rows = sets.select("set_id", "hashes")
     rows = rows.withColumn("label", F.col("set_id")) if labels is None else rows.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    banded = _spread(rows, shape)
+    banded = _spread(rows, shape, every)
     buckets = banded.repartition(tasks_of(spark), F.shiftright("bucket", 2)).sortWithinPartitions("bucket", hash_order("set_id"))
-    pairs = buckets.mapInArrow(_bucket_pairs, "src long, dst long").distinct()
+    pairs = buckets.mapInArrow(lambda batches: _bucket_pairs(batches, every), "src long, dst long").distinct()
     left, right = (sets.select(F.col("set_id").alias(end), F.col("hashes").alias(f"_{end}")) for end in ("src", "dst"))
     both = pairs.join(left, "src").join(right, "dst")
     shared = F.size(F.array_intersect("_src", "_dst"))

@@ -128,6 +128,20 @@ def test_pivots_against_all_links(spark):
     assert len({r.pivot_id for r in n.described().collect()} - set(pivots)) == 0
 
 
+def test_recall_of_all_links_of_the_test_table(spark, monkeypatch):
+    """Every true link between word sets of the test table is looked for; buckets whole and divided."""
+    df = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/posts.parquet").select("row_id", "message_normalizer")
+    sets = cut(word_sets(df, "row_id", "message_normalizer").groupBy("k1", "k2", "hashes").agg(F.min("row_id").alias("set_id"), F.count("*").alias("n")))
+    words = [(r.set_id, set(r.hashes)) for r in sets.collect()]
+    want = {(min(a, b), max(a, b)) for k, (a, s) in enumerate(words) for b, t in words[:k] if 3 * len(s & t) >= len(s) + len(t)}
+    got = {(r.src, r.dst) for r in links(sets, None, FINE, 0.5, every=True).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 1500
+    monkeypatch.setattr(narratives, "PROBE", 2)
+    monkeypatch.setattr(narratives, "PROBE_LEAST", 3)
+    monkeypatch.setattr(narratives, "tasks_of", lambda spark: 64)
+    assert {(r.src, r.dst) for r in links(sets.repartition(3), None, (80, 5), 0.5, every=True).collect()} == got
+
+
 def test_links_do_not_depend_on_batches_or_partitions(spark):
     df = spark.read.parquet(f"{SMALL}/posts.parquet").select("row_id", "message_normalizer")
     sets = cut(word_sets(df, "row_id", "message_normalizer").groupBy("k1", "k2", "hashes").agg(F.min("row_id").alias("set_id"), F.count("*").alias("n")))

@@ -17,11 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ripplework.llm.tokens import RANKS, TOKENIZERS, Codec, codec, spaced
+from ripplework.llm.tokens import RANKS, TOKENIZERS, Codec, codec, few, spaced
 
 LIMIT, OVERLAP = 1024, 64
-#: Texts whose pieces are held before they are passed on.
-TEXTS_AT_ONCE = 256
 _CLOSERS = "[\"'”’»)\\]}]*"
 #: Boundaries from the strongest; each ends where the white space begins.
 _BOUNDARIES = tuple(map(re.compile, (r"(?<=\S)(?=[^\S\n]*\n[^\S\n]*\n)", r"(?<=\S)(?=[^\S\n]*\n)", rf"[.!?…؟。]{_CLOSERS}(?=\s)", rf"[,;:،؛]{_CLOSERS}(?=\s)", r"(?<=\S)(?=\s)")))
@@ -83,17 +81,16 @@ def split_texts(df: DataFrame, id_col: str, text: str, limit: int = LIMIT, overl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(folder, ranks)
-        for batch in batches:
-            for part in (batch.slice(at, TEXTS_AT_ONCE) for at in range(0, batch.num_rows, TEXTS_AT_ONCE)):
-                rows = []
-                for row, raw in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
-                    if raw is not None:
-                        whole = raw.decode(errors="replace")
-                        cut = pieces(whole, known, limit, overlap)
-                        rows += [(row, k, len(cut), s, c, e, n, whole[s:e]) for k, (s, c, e, n) in enumerate(cut)]
-                columns = list(zip(*rows)) if rows else [()] * 8
-                kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds))], names)
+        for part in few(batches):
+            rows = []
+            for row, raw in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
+                if raw is not None:
+                    whole = raw.decode(errors="replace")
+                    cut = pieces(whole, known, limit, overlap)
+                    rows += [(row, k, len(cut), s, c, e, n, whole[s:e]) for k, (s, c, e, n) in enumerate(cut)]
+            columns = list(zip(*rows)) if rows else [()] * 8
+            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.string()]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds))], names)
 
     schema = f"`{id_col}` {kind}, piece_no int, n_pieces int, start long, core_start long, stop long, n_tokens long, piece string"
     return df.select(id_col, text).mapInArrow(run, schema)

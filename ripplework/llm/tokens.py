@@ -27,6 +27,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_TEXT = 65_536
 LONG_BLANK = 4_096
+#: Texts that a task holds as Python objects at once.
+TEXTS_AT_ONCE = 256
 _SAFE = re.compile(r"(?<=\S)(?=\s)")
 _BLANK = re.compile(rf"\s{{{LONG_BLANK},}}")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -90,6 +92,12 @@ def codec(folder: str = TOKENIZERS, ranks: str = RANKS) -> Codec:
     return kept[folder, ranks]
 
 
+def few(batches: Iterator[pa.RecordBatch], texts: int = TEXTS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``texts`` rows."""
+    for batch in batches:
+        yield from (batch.slice(at, texts) for at in range(0, batch.num_rows, texts))
+
+
 def with_ids(df: DataFrame, text: str, ids: str = "ids", folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
     """``df`` with the ids of column ``text`` beside it, under ``ids``. Other columns pass unchanged; ``ids`` must be free."""
     if ids in df.columns:
@@ -98,7 +106,7 @@ def with_ids(df: DataFrame, text: str, ids: str = "ids", folder: str = TOKENIZER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(folder, ranks)
-        for batch in batches:
+        for batch in few(batches):
             coded = [known.encode_bytes(raw) for raw in batch.column(at).cast(pa.binary()).to_pylist()]
             offsets = np.zeros(len(coded) + 1, np.int32)
             np.cumsum([len(x) for x in coded], out=offsets[1:])
@@ -116,7 +124,7 @@ def with_token_count(df: DataFrame, text: str, name: str = "n_tokens", folder: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(folder, ranks)
-        for batch in batches:
+        for batch in few(batches):
             n = [len(known.encode_bytes(raw)) for raw in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64())], [*kept, name])
 
@@ -130,7 +138,7 @@ def with_text(df: DataFrame, ids: str, text: str = "raw", folder: str = TOKENIZE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(folder, ranks)
-        for batch in batches:
+        for batch in few(batches):
             raw = [known.decode(x or []) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, text])
 

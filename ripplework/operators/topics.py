@@ -31,6 +31,10 @@ comme tout tous toute toutes meme même aussi bien fait faire cela ça y d l m n
 """.split()
 
 
+#: Terms whose weights are broadcast.
+BROADCAST = 1 << 18
+
+
 def term_docfreq(posts: DataFrame, k: int = 40, stop: list[str] = TERM_STOP_WORDS) -> DataFrame:
     """The ``k`` terms in most posts. Equal texts are counted once and weighted."""
     texts = posts.groupBy(F.lower("text").alias("text")).agg(F.count(F.lit(1)).alias("n"))
@@ -44,17 +48,21 @@ def representatives(posts: DataFrame) -> DataFrame:
     return posts.filter("text <> ''").groupBy("text").agg(F.count(F.lit(1)).alias("weight"), best.alias("row_id"))
 
 
+def _words(texts: DataFrame, ngram: int) -> DataFrame:
+    """``texts`` with their ``terms``: words and, with ``ngram`` 2, pairs of neighbours once stop words are gone."""
+    words = RegexTokenizer(inputCol="text", outputCol="_all", gaps=False, pattern=r"(?U)\b\w\w+\b").transform(texts)
+    words = StopWordsRemover(inputCol="_all", outputCol="_one", stopWords=STOP_WORDS).transform(words)
+    for n in range(2, ngram + 1):
+        words = NGram(n=n, inputCol="_one", outputCol=f"_{n}").transform(words)
+    return words.select(*texts.columns, F.concat("_one", *(f"_{n}" for n in range(2, ngram + 1))).alias("terms"))
+
+
 def tfidf(texts: DataFrame, min_df: int = 5, max_features: int = 5000, ngram: int = 2) -> tuple[DataFrame | None, list[str], list[float]]:
     """The rows of ``texts`` with their ``terms`` and vectors (``tf``, and ``features``, weighted and at unit length), the vocabulary and its weights.
 
     Terms are words and, with ``ngram`` 2, pairs of neighbours once stop words are gone, of which the ``max_features`` most frequent ones that occur in at least
     ``min_df`` texts and at most half of them are kept. A weight is ln((1 + texts) / (1 + texts with the term)) + 1. Without such terms: None."""
-    words = RegexTokenizer(inputCol="text", outputCol="_all", gaps=False, pattern=r"(?U)\b\w\w+\b").transform(texts)
-    words = StopWordsRemover(inputCol="_all", outputCol="_one", stopWords=STOP_WORDS).transform(words)
-    for n in range(2, ngram + 1):
-        words = NGram(n=n, inputCol="_one", outputCol=f"_{n}").transform(words)
-    words = words.withColumn("terms", F.concat("_one", *(f"_{n}" for n in range(2, ngram + 1))))
-    words = cut(words.select(*texts.columns, "terms"))
+    words = cut(_words(texts, ngram))
     try:
         counter = CountVectorizer(inputCol="terms", outputCol="tf", minDF=float(min_df), maxDF=0.5, vocabSize=max_features).fit(words)
     except Exception as e:
@@ -67,17 +75,45 @@ def tfidf(texts: DataFrame, min_df: int = 5, max_features: int = 5000, ngram: in
     return Normalizer(inputCol="w", outputCol="features").transform(scaled).drop("w"), counter.vocabulary, weights.tolist()
 
 
-def term_weights(posts: DataFrame, **options) -> DataFrame:
+def _counted(words: DataFrame) -> DataFrame:
+    """``id``, ``term`` and ``tf`` of the terms of each text; ``s`` holds its terms in order, equal ones side by side."""
+    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    runs = words.filter(F.size("s") > 0).select("id", "s", F.explode(F.array(starts)).alias("at"))
+    end = lambda k: F.coalesce(F.get("at", k + 1), F.size("s"))
+    return runs.select("id", F.inline(F.transform("at", lambda i, k: F.struct(F.get("s", i).alias("term"), (end(k) - i).alias("tf")))))
+
+
+def term_weights(posts: DataFrame, min_df: int = 5, max_features: int | None = None, ngram: int = 2) -> DataFrame:
     """The vocabulary of the distinct texts of ``posts``: ``term``, ``weight``, how often it occurs (``n``), and the sum of its parts of the texts' vectors
-    (``mass``). ``options`` are those of ``tfidf``."""
-    spark = posts.sparkSession
-    vectors, vocabulary, weights = tfidf(representatives(posts).select("text"), **options)
-    if vectors is None:
-        return spark.createDataFrame([], "term string, weight double, n long, mass double")
-    parts = vectors.select(F.posexplode(F.arrays_zip(vector_to_array("tf").alias("tf"), vector_to_array("features").alias("x"))).alias("at", "p")).filter("p.tf > 0")
-    sums = parts.groupBy("at").agg(F.sum("p.tf").cast("long").alias("n"), F.round(F.sum("p.x"), 6).alias("mass"))
-    terms = spark.createDataFrame([(i, t, w) for i, (t, w) in enumerate(zip(vocabulary, weights))], "at int, term string, weight double")
-    return sums.join(F.broadcast(terms), "at").select("term", F.round("weight", 9).alias("weight"), "n", "mass")
+    (``mass``). Terms and weights are those of ``tfidf``; with ``max_features`` None none is left out.
+
+    A text is as many rows as it has different terms, whatever the vocabulary's size. Weights of the terms in most texts, at most ``BROADCAST`` of them, are broadcast; only rows
+    of rarer terms are shuffled to theirs.
+    """
+    words = cut(_words(posts.filter("text <> ''").select("text").distinct(), ngram).select(F.monotonically_increasing_id().alias("id"), F.array_sort("terms").alias("s")))
+    texts = words.count()
+    found = _counted(words).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")).filter((F.col("df") >= min_df) & (F.col("df") <= 0.5 * texts))
+    if max_features is not None:
+        found = found.orderBy(F.desc("n"), "term").limit(max_features)
+    found = cut(found.withColumn("weight", F.log((1.0 + texts) / (1.0 + F.col("df"))) + 1.0))
+    powers = [1 << i for i in range(63)]
+    held = found.agg(*(F.count_if(F.col("df") >= m).alias(str(m)) for m in powers)).first()
+    least = next(m for m, n in zip(powers, held) if n <= BROADCAST)
+    table = found.select("term", "weight")
+    often, rare = F.broadcast(table.filter(found.df >= least)), table.filter(found.df < least).hint("shuffle_merge")
+
+    def weighted(words: DataFrame) -> DataFrame:
+        """The rows of ``_counted`` for the vocabulary, with ``w``, the frequency times the weight."""
+        each = _counted(words)
+        rows = each.join(often, "term")
+        if held[0] > held[powers.index(least)]:
+            rows = rows.unionByName(each.join(often, "term", "left_anti").join(rare, "term"))
+        return rows.select("id", "term", (F.col("tf") * F.col("weight")).alias("w"))
+
+    norms = weighted(words).groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    parts = weighted(words.join(norms, "id").select(F.col("norm").alias("id"), "s"))
+    mass = parts.groupBy("term").agg(F.round(F.sum(F.col("w") / F.col("id")), 6).alias("mass"))
+    return found.join(mass, "term").select("term", F.round("weight", 9).alias("weight"), "n", "mass")
 
 
 class Topics:

@@ -1,7 +1,8 @@
 """Near-duplicate texts by the Jaccard similarity of their character n-grams.
 
-Two texts similar to t share one of their rarest grams: of a text with n grams, the first n - ceil(t n) + 1 in the order of rarity
-hold one of the common ones. Pairs come from that prefix and are checked on the whole sets, after those have gone whose sizes or maps of
+Two texts similar to t, of a and b grams, differ in at most (1 - t) / (1 + t) (a + b) of them. If all grams are dealt to more parts than that by their hashes, one
+part is the same in both; such a part holds several grams, so few other texts have it. Where t is low, pairs come from the rarest grams instead: of a text with n grams, the first
+n - ceil(t n) + 1 in the order of rarity hold one of the common ones. Pairs are checked on the whole sets, after those have gone whose sizes or maps of
 256 bits differ too much: a bit is set if an odd number of the text's grams fall on it, so two maps differ in no more bits than there are grams
 in one of the texts only. Nothing is lost by this.
 """
@@ -21,13 +22,21 @@ BITMAP = [f"b{i}" for i in range(WORDS)]
 #: Texts of one gram that meet in one task.
 BLOCK = 2_000
 PAIRS_A_ROW = 64
+#: A round that leaves more than this share of the pairs is the last one.
+PAYS = 0.9
+#: Least threshold at which texts meet by parts.
+LOW = 0.75
 
 
 def char_ngrams(text: Column | str, n: int = 3) -> Column:
     """The distinct character n-grams of the text with single blanks for white space. A shorter text is its own gram, an empty one has none."""
-    text = F.trim(F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"\s+", " "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: text.substr(i, F.lit(n)))
-    return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) < n, F.array(text)).otherwise(F.array_distinct(grams))
+    whole = F.trim(F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"\s+", " "))
+
+    def of(text: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: text.substr(i, F.lit(n)))
+        return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) < n, F.array(text)).otherwise(F.array_distinct(grams))
+
+    return F.get(F.transform(F.array(whole), of), F.lit(0))  # as a variable of the lambda, the white space is replaced once and not for each gram
 
 
 def _sets(texts: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
@@ -35,6 +44,44 @@ def _sets(texts: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
     return cut(texts.select(F.col(id_col).alias("id"), F.explode(F.array(grams)).alias("grams")).filter(F.size("grams") > 0))
 
 
+def _levels(largest: int, threshold: float) -> list[tuple[int, int]]:
+    """Least size and parts of each level up to that of ``largest``. Of two similar texts the one with more grams is on the other's level or the next one, and
+    fewer grams than the lower level has parts are in one of them only."""
+    levels, least = [], 1
+    while least <= largest:
+        above = max(int(least / threshold + 1e-9), int(least * 1.1)) + 1
+        levels.append((least, int((above - 1) * (1 - threshold) / threshold + 1e-6) + 1))
+        least = above
+    return levels
+
+
+def _parts(sets: DataFrame, threshold: float) -> DataFrame:
+    """``id``, ``size``, the words of the bitmap, and as ``gram`` a key for each part of a text, on its own level and the one below. The hashes of grams deal them
+    to the parts; since two similar texts differ in fewer grams than there are parts, one part is the same in both, be it empty."""
+    levels = _levels(sets.agg(F.coalesce(F.max(F.size("grams")), F.lit(0))).first()[0], threshold)
+    least, parts = (F.array(*(F.lit(x).cast("int") for x in xs)) for xs in (zip(*levels) if levels else ([1], [1])))
+    own = F.size(F.filter(least, lambda x: x <= F.size("grams"))) - 1
+    each = sets.select("id", "grams", F.explode(F.when(own > 0, F.array(own, own - 1)).otherwise(F.array(own))).alias("level"))
+    each = each.select("id", "grams", "level", F.explode(F.array(F.get(parts, F.col("level")))).alias("parts"))
+    dealt = F.transform("grams", lambda g: F.struct(F.pmod(F.shiftright(g, 8), F.col("parts").cast("long")).alias("part"), g.alias("g")))
+    none = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.cast("long").alias("part"), F.lit(0).cast("long").alias("g")))
+    keys = each.select("id", "level", F.inline(F.concat(dealt, none))).groupBy("id", "level", "part").agg(F.bit_xor(F.xxhash64("g")).alias("x"), F.count(F.lit(1)).alias("n"))
+    keys = keys.select("id", F.xxhash64("level", "part", "x", "n").alias("gram"))
+    return sets.select("id", F.size("grams").alias("size"), *_maps()).join(keys, "id").select("id", "size", *BITMAP, "gram")
+
+
+def _maps() -> list[Column]:
+    """The words of the bitmap of ``grams``."""
+    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(g, F.lit(64)).cast("int"))
+    word = lambda i: F.filter("grams", lambda g: F.pmod(F.shiftright(g, 6), F.lit(WORDS)) == i)
+    return [F.aggregate(word(i), F.lit(0).cast("long"), lambda b, g: b.bitwiseXOR(bit(g))).alias(f"b{i}") for i in range(WORDS)]
+
+
+def _keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """What similar texts share: parts, or rare grams where a threshold is so low that parts would be of one gram or none."""
+    return cut((_parts if threshold >= LOW else _prefixes)(sets, threshold))
+
+
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     """``id``, ``size``, the words of the bitmap, and each of the rarest grams of a text, of which a similar one has at least one among its own."""
     each = sets.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
@@ -83,7 +130,7 @@ def _meeting(prefix: DataFrame, threshold: float, apart: str) -> DataFrame:
 def similar_pairs(texts: DataFrame, id_col: str, text: str, threshold: float = 0.8, n: int = 3) -> DataFrame:
     """``src`` < ``dst`` and ``sim`` of the pairs of at least ``threshold``. NULL and empty texts have none."""
     sets = _sets(texts, id_col, text, n)
-    return _checked(_meeting(cut(_prefixes(sets, threshold)), threshold, "id"), sets, threshold)
+    return _checked(_meeting(_keys(sets, threshold), threshold, "id"), sets, threshold)
 
 
 def similar_groups(texts: DataFrame, id_col: str, text: str, threshold: float = 0.8, n: int = 3) -> DataFrame:
@@ -91,16 +138,19 @@ def similar_groups(texts: DataFrame, id_col: str, text: str, threshold: float =
 
     What is left of different groups meets pair by pair once that is no more than ``PAIRS_A_ROW`` pairs for each text and gram of its prefix. Before,
     in rounds with different hashes, each text is held against one text of another group for each such gram, that of least hash, and groups that this
-    links are joined; so a large family costs one row a text and gram. Rounds end when one joins nothing.
+    links are joined; so a large family costs one row a text and gram. Rounds end when one joins nothing or leaves nearly all pairs, which are then not of families.
     """
     sets = _sets(texts, id_col, text, n)
-    prefix = cut(_prefixes(sets, threshold))
-    total, turn, joined = prefix.count(), 0, True
+    prefix = _keys(sets, threshold)
+    total, turn, before = prefix.count(), 0, float("inf")
     labels = cut(sets.select(F.col("id").alias("node"), F.col("id").alias("label")))
     rows = prefix.withColumn("label", F.col("id"))
-    while joined and _left(rows) > PAIRS_A_ROW * total:
+    while PAIRS_A_ROW * total < (left := _left(rows)) <= PAYS * before:
         found = _checked(_stars(rows, threshold, turn), sets, threshold)
         labels, joined = _joined(labels, found)
+        if not joined:
+            break
+        before = left
         release(rows)
         rows, turn = cut(prefix.join(labels.withColumnRenamed("node", "id"), "id")), turn + 1
     labels, _ = _joined(labels, _checked(_meeting(rows, threshold, "label"), sets, threshold))

@@ -318,6 +318,43 @@ def test_a_large_family_of_variants_is_linked_in_rounds(spark, monkeypatch):
     assert groups() == want
 
 
+def test_unlike_texts_of_common_grams_seldom_meet(spark, monkeypatch):
+    """All sizes from one gram on, edited and unlike texts over few words: the pairs of brute force from parts and from rare grams, but fewer to look at by parts."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 7))) for _ in range(50)]
+    texts = [("abcdefghijklmnopqrstuvwxyz" * 2)[:k] for k in range(1, 40)] + [" ".join(rng.choices(words, k=28)) for _ in range(150)]
+    texts += [t[:k] + "#" * (1 + k % 6) + t[k + k % 4 :] for t in texts[39:99] for k in (rng.randrange(len(t)), 3)] + ["z", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    grams = [{t[i : i + 3] for i in range(len(t) - 2)} or ({t} if t else set()) for t in texts]
+    for threshold in (0.8, 0.93, 1.0):
+        want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if grams[i] and len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= threshold}
+        assert {(r.src, r.dst) for r in similar_pairs(df, "id", "t", threshold).collect()} == want and (want or threshold == 1)
+    found = {(r.src, r.dst) for r in similar_pairs(df, "id", "t").collect()}
+    sets = neardup._sets(df, "id", "t", 3)
+    few = neardup._left(neardup._keys(sets, 0.8).withColumn("label", F.col("id")))
+    monkeypatch.setattr(neardup, "LOW", 2)
+    assert {(r.src, r.dst) for r in similar_pairs(df, "id", "t").collect()} == found
+    assert 2 * few < neardup._left(neardup._keys(sets, 0.8).withColumn("label", F.col("id")))
+
+
+def test_rounds_end_when_they_do_not_pay(spark, monkeypatch):
+    """Pairs of unlike texts stay whatever the rounds do, so these end; the groups are those of all pairs."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdef") for _ in range(5)) for _ in range(30)]
+    texts = [" ".join(rng.choices(words, k=25)) for _ in range(60)]
+    texts += [t[: 30 * k] + "#" + t[30 * k :] for t in texts for k in (1, 2, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    rounds, stars = [], neardup._stars
+    monkeypatch.setattr(neardup, "PAIRS_A_ROW", 0)
+    monkeypatch.setattr(neardup, "LOW", 2)
+    monkeypatch.setattr(neardup, "_stars", lambda *args: rounds.append(1) or stars(*args))
+    linked = defaultdict(set)
+    for r in similar_groups(df, "id", "t").collect():
+        linked[r.label].add(r.node)
+    assert {frozenset(g) for g in linked.values()} == components((r.src, r.dst) for r in similar_pairs(df, "id", "t").collect())
+    assert len(linked) == 60 and len(rounds) == 1
+
+
 # load
 
 

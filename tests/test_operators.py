@@ -337,6 +337,14 @@ def test_unlike_texts_of_common_grams_seldom_meet(spark, monkeypatch):
     assert 2 * few < neardup._left(neardup._keys(sets, 0.8).withColumn("label", F.col("id")))
 
 
+def test_totals_of_texts_that_meet_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_prefixes", None)
+    texts = [f"{a} {a[::-1]} {a * 2} et la suite {k}" for a in ("abcdefghij", "klmnopqrst", "uvwxyz0123") for k in range(3)] + ["tout autre chose", "z"]
+    groups = near_dup_groups(spark.createDataFrame([(t, 5 + i) for i, t in enumerate(texts)], "text string, n long"))
+    totals = near_dup_totals(groups).first()
+    assert (totals.n_near_dup_groups, totals.n_texts_merged, totals.messages_in_near_dup_groups) == (3, 9, sum(range(5, 14)))
+
+
 def test_rounds_end_when_they_do_not_pay(spark, monkeypatch):
     """Pairs of unlike texts stay whatever the rounds do, so these end; the groups are those of all pairs."""
     rng = random.Random(7)

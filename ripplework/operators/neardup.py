@@ -61,13 +61,14 @@ def _parts(sets: DataFrame, threshold: float) -> DataFrame:
     levels = _levels(sets.agg(F.coalesce(F.max(F.size("grams")), F.lit(0))).first()[0], threshold)
     least, parts = (F.array(*(F.lit(x).cast("int") for x in xs)) for xs in (zip(*levels) if levels else ([1], [1])))
     own = F.size(F.filter(least, lambda x: x <= F.size("grams"))) - 1
-    each = sets.select("id", "grams", F.explode(F.when(own > 0, F.array(own, own - 1)).otherwise(F.array(own))).alias("level"))
-    each = each.select("id", "grams", "level", F.explode(F.array(F.get(parts, F.col("level")))).alias("parts"))
+    # by text from here on, so that the grams are shuffled once as arrays and their parts not at all
+    kept = ["id", "size", *BITMAP]
+    each = sets.repartition("id").select("id", F.size("grams").alias("size"), *_maps(), "grams", F.explode(F.when(own > 0, F.array(own, own - 1)).otherwise(F.array(own))).alias("level"))
+    each = each.select(*kept, "grams", "level", F.explode(F.array(F.get(parts, F.col("level")))).alias("parts"))
     dealt = F.transform("grams", lambda g: F.struct(F.pmod(F.shiftright(g, 8), F.col("parts").cast("long")).alias("part"), g.alias("g")))
     none = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.cast("long").alias("part"), F.lit(0).cast("long").alias("g")))
-    keys = each.select("id", "level", F.inline(F.concat(dealt, none))).groupBy("id", "level", "part").agg(F.bit_xor(F.xxhash64("g")).alias("x"), F.count(F.lit(1)).alias("n"))
-    keys = keys.select("id", F.xxhash64("level", "part", "x", "n").alias("gram"))
-    return sets.select("id", F.size("grams").alias("size"), *_maps()).join(keys, "id").select("id", "size", *BITMAP, "gram")
+    keys = each.select(*kept, "level", F.inline(F.concat(dealt, none))).groupBy(*kept, "level", "part").agg(F.bit_xor(F.xxhash64("g")).alias("x"), F.count(F.lit(1)).alias("n"))
+    return keys.select(*kept, F.xxhash64("level", "part", "x", "n").alias("gram"))
 
 
 def _maps() -> list[Column]:
@@ -144,8 +145,8 @@ def similar_groups(texts: DataFrame, id_col: str, text: str, threshold: float =
     prefix = _keys(sets, threshold)
     total, turn, before = prefix.count(), 0, float("inf")
     labels = cut(sets.select(F.col("id").alias("node"), F.col("id").alias("label")))
-    rows = prefix.withColumn("label", F.col("id"))
-    while PAIRS_A_ROW * total < (left := _left(rows)) <= PAYS * before:
+    rows, left = prefix.withColumn("label", F.col("id")), _left(prefix)
+    while PAIRS_A_ROW * total < left <= PAYS * before:
         found = _checked(_stars(rows, threshold, turn), sets, threshold)
         labels, joined = _joined(labels, found)
         if not joined:
@@ -153,13 +154,17 @@ def similar_groups(texts: DataFrame, id_col: str, text: str, threshold: float =
         before = left
         release(rows)
         rows, turn = cut(prefix.join(labels.withColumnRenamed("node", "id"), "id")), turn + 1
+        left = _left(rows)
     labels, _ = _joined(labels, _checked(_meeting(rows, threshold, "label"), sets, threshold))
     sizes = cut(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("_in")).filter("n > 1"))
     return lookup_join(labels, sizes, ["label"], "n", "node").filter("_in").select("node", "label")
 
 
 def _left(rows: DataFrame) -> int:
-    """Pairs of texts that share a gram and differ in label."""
+    """Pairs of texts that share a gram and differ in label, if they have any yet."""
+    if "label" not in rows.columns:
+        n = F.col("n").cast("double")
+        return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
     sizes = rows.groupBy("gram", "label").agg(F.count(F.lit(1)).cast("double").alias("m"))
     left = sizes.groupBy("gram").agg(((F.pow(F.sum("m"), 2) - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"))
     return left.agg(F.sum("p")).first()[0] or 0

@@ -345,6 +345,22 @@ def test_totals_of_texts_that_meet_by_parts(spark, monkeypatch):
     assert (totals.n_near_dup_groups, totals.n_texts_merged, totals.messages_in_near_dup_groups) == (3, 9, sum(range(5, 14)))
 
 
+def test_parts_are_dealt_where_a_text_is(spark):
+    """The grams are shuffled once, by text; pairs are counted without labels as if each text had its own."""
+    words = ["abcdefghij", "klmnopqrst", "uvwxyz0123"]
+    df = spark.createDataFrame([(i, f"{a} {a[::-1]} et la suite {k}") for i, (a, k) in enumerate(itertools.product(words, range(4)))], "id long, t string")
+    sets = neardup._sets(df, "id", "t", 3)
+    keys = neardup._parts(sets, 0.8)
+    assert keys._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert {r.id: (r.size, r.b0, r.b1, r.b2, r.b3) for r in keys.collect()} == {r[0]: tuple(r[1:]) for r in sets.select("id", F.size("grams"), *neardup._maps()).collect()}
+    grams = defaultdict(set)
+    for r in keys.collect():
+        grams[r.gram].add(r.id)
+    pairs = sum(len(ids) * (len(ids) - 1) // 2 for ids in grams.values())
+    assert neardup._left(keys) == neardup._left(keys.withColumn("label", F.col("id"))) == pairs > 0
+    assert neardup._left(keys.limit(0)) == 0
+
+
 def test_rounds_end_when_they_do_not_pay(spark, monkeypatch):
     """Pairs of unlike texts stay whatever the rounds do, so these end; the groups are those of all pairs."""
     rng = random.Random(7)
